@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from senseloom.llm import mixing, packing, quality, secrets, sharding, simhash, toxicity, winnowing
+from senseloom.llm import ann, mixing, packing, quality, secrets, sharding, simhash, toxicity, warc, winnowing
 from senseloom.llm.common import table
 from senseloom.llm.labelled import fold
 
@@ -41,6 +41,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
@@ -57,5 +65,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_winnowing, op4_simhash, op5_packing, op8_sharding, op9_secrets, op10_toxicity)}
-ORACLES: dict[str, str] = {"op1_mixing": mixing.PLAN_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_winnowing, op4_simhash, op5_packing, op6_warc, op7_neighbours, op8_sharding, op9_secrets, op10_toxicity)}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.PLAN_SQL, "op6_warc": warc.ROUND_TRIP_SQL}
