@@ -1,9 +1,10 @@
 """Near copies by 64-bit SimHash, linked with a Gray-order hierarchical index.
 
-Distinct fingerprints are sorted by their rank in the reflected Gray code and cut into blocks of neighbours. A block's upper nodes hold
-the bits that all fingerprints below share (a mask and a pattern); a node keeps only the bits that its parent does not already fix. A search goes
-down the tree adding up differing bits and leaves a whole group as soon as the sum exceeds the limit. The blocks' own
-patterns form a small tree too (its size is bounded by ``most_blocks``), which sends every fingerprint to just the blocks it may match.
+Distinct fingerprints are indexed once for each of ``bits apart + 1`` bands of their bits: two that differ in so few bits agree on one band at least, and the
+band's bits are the topmost shared pattern, by which the index is spread over tasks (a fixed number of copies of each fingerprint). Within a task
+fingerprints, turned so that the band comes first, are sorted by their rank in the reflected Gray code. Upper nodes hold the bits that all
+fingerprints below share (a mask and a pattern); a node keeps only the bits that its parent does not already fix. A search goes down the tree adding
+up differing bits and leaves a whole group as soon as the sum exceeds the limit.
 """
 
 from __future__ import annotations
@@ -13,16 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from senseloom.llm.common import materialize
+from senseloom.llm.common import materialize, maybe_broadcast
 from senseloom.llm.components import components
 
 SHINGLE = 3
 BITS_APART = 2
+#: Fingerprints in a block of the index, and how many may share a band before they are spread again.
 BLOCK_ROWS = 20_000
-MOST_BLOCKS = 16_384
+HOT_ROWS = 1_000_000
 FANOUT = 8
 
 
@@ -66,13 +68,6 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def gray_order(fp):
-    """The Gray rank of a long column, as a long whose signed order is the order of ranks."""
-    for s in (1, 2, 4, 8, 16, 32):
-        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
-    return fp.bitwiseXOR(F.lit(-(1 << 63)))
-
-
 class GrayTree:
     """Hierarchy of shared bit patterns over groups given in Gray order: ``mask`` tells which bits a group shares, ``pattern`` their values."""
 
@@ -127,57 +122,61 @@ class Forest:
                 self.root = up
 
 
-def block_links(block: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Spanning links within a block and from its visitors to it; ``guest`` marks fingerprints of earlier blocks."""
-    own = block.loc[~block["guest"], "fp"].to_numpy().view(np.uint64)
-    own = own[np.argsort(gray_rank(own))]
-    guests = block.loc[block["guest"], "fp"].to_numpy().view(np.uint64)
-    everyone = np.concatenate([own, guests])
-    forest = Forest(len(everyone))
-    if len(own):
-        tree = GrayTree(np.full(len(own), ~np.uint64(0)), own)
-        for who, leaf in tree.search(everyone, most):
-            new = who > leaf  # guests come after all leaves; of two leaves one order is enough
-            forest.link(who[new], leaf[new])
-    moved = np.flatnonzero(forest.root != np.arange(len(everyone)))
-    return pd.DataFrame({"u": everyone[moved].view(np.int64), "v": everyone[forest.root[moved]].view(np.int64)})
+def bands_of(bits: int, parts: int) -> list[tuple[int, int]]:
+    """Cut ``bits`` bits into ``parts`` bands: (lowest bit, width)."""
+    cuts = [bits * i // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def fingerprint_links(distinct: DataFrame, most: int = BITS_APART, block_rows: int = BLOCK_ROWS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
-    """Links (u, v) that connect all distinct fingerprints ``fp`` within ``most`` bits of each other, as spanning forests of blocks.
+def band_keys(fp: Column, bands: list[tuple[int, int]]) -> Column:
+    """Array of (band, value) structs of a fingerprint column."""
+    return F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(fp, low).bitwiseAND((1 << width) - 1).alias("value")) for i, (low, width) in enumerate(bands)))
 
-    Every pair within reach is examined; only links that join two groups are kept, so a dense group costs as many rows as it has members.
-    """
-    spark = distinct.sparkSession
-    ranked = distinct.withColumn("rank", gray_order(F.col("fp")))
-    n = ranked.count()
-    blocks = int(max(1, min(most_blocks, -(-n // block_rows))))
-    cuts = ranked.agg(F.percentile_approx("rank", [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] if blocks > 1 else []
-    cut = spark.sparkContext.broadcast(np.unique(np.array(cuts, np.int64)))
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            block = np.searchsorted(cut.value, b.column("rank").to_numpy(), "right")
-            yield pa.RecordBatch.from_arrays([b.column("fp"), pa.array(block.astype(np.int32))], names=["fp", "block"])
 
-    placed = materialize(ranked.mapInArrow(assign, "fp long, block int"), "fingerprints")
-    upper = placed.groupBy("block").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("some")).orderBy("block").limit(most_blocks + 1).toPandas()
-    ones, some = upper["ones"].to_numpy(np.int64).view(np.uint64), upper["some"].to_numpy(np.int64).view(np.uint64)
-    sent = spark.sparkContext.broadcast((upper["block"].to_numpy(np.int32), ~(ones ^ some), ones))
+def block_links(block: pd.DataFrame, most: int, top: int) -> pd.DataFrame:
+    """Spanning links (u, v) between the fingerprints of a block that are within ``most`` bits; ``top`` is the end of its band."""
+    own = np.unique(block["fp"].to_numpy(np.int64).view(np.uint64))
+    turn = np.uint64(64 - top)
+    turned = own if not turn else (own << turn) | (own >> np.uint64(64) - turn)
+    own, turned = (x[np.argsort(gray_rank(turned))] for x in (own, turned))
+    forest = Forest(len(own))
+    for who, leaf in GrayTree(np.full(len(own), ~np.uint64(0)), turned).search(turned, most):
+        forest.link(who[who > leaf], leaf[who > leaf])
+    moved = np.flatnonzero(forest.root != np.arange(len(own)))
+    return pd.DataFrame({"u": own[moved].view(np.int64), "v": own[forest.root[moved]].view(np.int64)})
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, mask, pattern = sent.value
-        tree = GrayTree(mask, pattern) if len(ids) else None
-        for b in batches:
-            fp, own = b.column("fp").to_numpy(), b.column("block").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("fp"), b.column("block"), pa.array(np.zeros(len(fp), bool))], names=["fp", "block", "guest"])
-            for who, leaf in tree.search(fp.view(np.uint64), most, 1024):
-                later = ids[leaf] > own[who]
-                who, leaf = who[later], leaf[later]
-                yield pa.RecordBatch.from_arrays([pa.array(fp[who]), pa.array(ids[leaf]), pa.array(np.ones(len(who), bool))], names=["fp", "block", "guest"])
-
-    sent_to = placed.mapInArrow(route, "fp long, block int, guest boolean")
-    return sent_to.groupBy("block").applyInPandas(lambda block: block_links(block, most), "u long, v long")
+
+def fingerprint_links(distinct: DataFrame, most: int = BITS_APART, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Links (u, v) that connect all distinct fingerprints ``fp`` within ``most`` bits of each other, as spanning forests of blocks.
+
+    Every pair within reach is examined; only links that join two groups are kept, so a dense group costs as many rows as it has members. Of a
+    band value that more than ``hot_rows`` fingerprints share, the other bits are cut into bands in turn, which is exact again.
+    """
+    bands = bands_of(64, most + 1)
+    n = distinct.count()
+    keyed = distinct.select("fp", F.explode(band_keys(F.col("fp"), bands)).alias("key")).select("fp", "key.*", F.lit(-1).alias("band2"), F.lit(0).cast("long").alias("value2"))
+    hot = materialize(keyed.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("band", "value", F.lit(True).alias("hot")), "hot")
+    if held := hot.count():
+        marked = keyed.join(maybe_broadcast(hot, held), ["band", "value"], "left")
+        parts = []
+        for i, (low, width) in enumerate(bands):
+            spread = bands_of(64 - width, most + 1)
+            # The other bits, closed up, in bands of their own.
+            closed = F.shiftrightunsigned(F.col("fp"), low + width) if low + width < 64 else F.lit(0).cast("long")
+            closed = F.shiftleft(closed, low).bitwiseOR(F.col("fp").bitwiseAND((1 << low) - 1))
+            one = marked.where((F.col("band") == i) & F.col("hot"))
+            parts.append(one.select("fp", "band", "value", F.explode(band_keys(closed, spread)).alias("key")).select("fp", "band", "value", F.col("key.band").alias("band2"), F.col("key.value").alias("value2")))
+        keyed = marked.where("hot IS NULL").select("fp", "band", "value", "band2", "value2")
+        for part in parts:
+            keyed = keyed.unionByName(part)
+    blocks = max(1, -(-n // block_rows))
+    placed = keyed.select("fp", "band", F.pmod(F.xxhash64("value", "band2", "value2"), F.lit(blocks)).alias("block"))
+    tops = [low + width for low, width in bands]
+
+    def link(key: tuple[int, int], block: pd.DataFrame) -> pd.DataFrame:
+        return block_links(block, most, tops[key[0]])
+
+    return placed.groupBy("band", "block").applyInPandas(link, "u long, v long")
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, most: int = BITS_APART) -> DataFrame:
