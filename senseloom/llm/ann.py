@@ -1,12 +1,14 @@
 """Approximate nearest neighbours by inner product: an inverted file with product-quantised residuals and exact reranking.
 
-Coarse centroids and residual codebooks are fitted on a bounded sample; every row is then indexed (list, code). A query visits its nearest lists,
-where candidates are scored by asymmetric distance tables (one look-up per subspace), the best are gathered per query and
-reranked with their original vectors in double precision. Lists of many rows are cut into chunks, so a hot list is many tasks.
+Coarse centroids and residual codebooks are fitted on a bounded sample; every row is then indexed (list, code). Lists are cut into chunks and
+dealt to groups of bounded size, so a hot list is many tasks. A query is sent once to each group that holds some of its nearest lists;
+there rows of these lists are scored by asymmetric distance tables (one look-up per subspace), and the best are reranked at once with
+their original vectors in double precision, so only the nearest of each group travel on.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +22,13 @@ from senseloom.llm.common import materialize
 SEED = 7
 SAMPLE_ROWS = 20_000
 MOST_LISTS = 1_024
-CHUNK_ROWS = 32_768
-PROBES = 48
-SHORTLIST = 100
+#: Rows of a list in one chunk, rows and queries that meet in one task, and the fewest groups.
+CHUNK_ROWS = 16_384
+TILE_ROWS = 131_072
+LEAST_GROUPS = 12
+#: Share of the lists that a query visits. Vectors without clusters need over half of the lists for a recall of 0.9; clustered ones far less.
+PROBES = 0.6
+SHORTLIST = 120
 SUBSPACES = 16
 CODES = 256
 
@@ -58,6 +64,7 @@ def nearest(x: np.ndarray, centre: np.ndarray, block: int = 4096) -> np.ndarray:
 @dataclass
 class Index:
     lists: np.ndarray  # (lists, dim)
+    scale: np.ndarray  # of each list, the size of its residuals: dense lists are coded as finely as loose ones
     codebooks: list[np.ndarray]  # of each subspace (codes, width)
     bounds: np.ndarray
 
@@ -66,21 +73,26 @@ class Index:
         """Centroids and codebooks from a sample of a table of ``rows`` rows."""
         rng = np.random.default_rng(seed)
         lists = kmeans(sample, int(min(MOST_LISTS, max(1, rows**0.5))), 8, rng)
-        rest = sample - lists[nearest(sample, lists)]
+        home = nearest(sample, lists)
+        rest = sample - lists[home]
+        square = (rest**2).sum(1)
+        scale = np.sqrt(np.bincount(home, square, len(lists)) / np.maximum(1, np.bincount(home, minlength=len(lists)))).astype(np.float32)
+        scale = np.where(scale > 1e-6 * (1 + scale.max()), scale, np.float32(np.sqrt(square.mean()) or 1))
+        rest /= scale[home][:, None]
         bounds = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
-        return cls(lists, [kmeans(rest[:, a:b], CODES, 8, rng) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], bounds)
+        return cls(lists, scale, [kmeans(rest[:, a:b], CODES, 8, rng) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], bounds)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         home = nearest(x, self.lists)
-        rest = x - self.lists[home]
+        rest = (x - self.lists[home]) / self.scale[home][:, None]
         return home, np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(self.bounds[:-1], self.bounds[1:], self.codebooks, strict=True)], 1).astype(np.uint8)
 
-    def scores(self, q: np.ndarray, home: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric inner products of queries with coded rows of one list."""
-        out = np.repeat((q @ self.lists[home])[:, None], len(codes), 1)
+    def scores(self, q: np.ndarray, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric inner products of queries with coded rows."""
+        out = np.zeros((len(q), len(home)), np.float32)
         for j, (a, b) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
             out += (q[:, a:b] @ self.codebooks[j].T)[:, codes[:, j]]
-        return out
+        return out * self.scale[home] + (q @ self.lists.T)[:, home]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float32) -> np.ndarray:
@@ -97,79 +109,104 @@ def best(score: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, equal[: n - len(above)]])
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int = PROBES, shortlist: int = SHORTLIST, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
+def deal(sizes: np.ndarray, chunk_rows: int, groups: int) -> list[list[int]]:
+    """Give each chunk of each list a group, the largest first to the emptiest group."""
+    pieces = sorted(((-(-n // c), i, j) for i, n in enumerate(sizes) for c in [max(1, -(-n // chunk_rows))] for j in range(c)), reverse=True)
+    held, out = [(0, g) for g in range(groups)], [[0] * max(1, -(-n // chunk_rows)) for n in sizes]
+    for n, i, j in pieces:
+        total, g = heapq.heappop(held)
+        out[i][j] = g
+        heapq.heappush(held, (total + n, g))
+    return out
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: float = PROBES, shortlist: int = SHORTLIST, sample_rows: int = SAMPLE_ROWS, tile_rows: int = TILE_ROWS, seed: int = SEED) -> DataFrame:
     """The ``k`` nearest of each query row among all other rows: query_id, rank (from 1), vec_id, score (inner product in double precision).
 
     ``vectors`` has vec_id and embedding, ``is_query`` selects queries by vec_id. See :func:`usable` for the rows that take part; an empty table gives no rows. Ties go
-    to the smaller vec_id, in the shortlist too, so copies of one vector are taken in order of their ids.
+    to the smaller vec_id, in the shortlists too, so copies of one vector are taken in order of their ids. A query visits its nearest lists: the
+    share ``probes`` of them, and more until they hold 10 * k rows. ``shortlist`` rows are reranked in each group.
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors), "vectors")
-    n = rows.count()
-    schema = "query_id long, rank int, vec_id long, score double"
+    n, asked = rows.count(), rows.where(is_query).count()
     if not n:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()
     index = Index.fit(matrix(sample.column("v")), n, seed=seed)
     sent = spark.sparkContext.broadcast(index)
+    vector = rows.schema["v"].dataType.simpleString()
+    kind = np.float32 if vector == "array<float>" else np.float64
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            home, codes = sent.value.encode(matrix(b.column("v")))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(home.astype(np.int32)), pa.array(list(map(bytes, codes)), pa.binary())], names=["vec_id", "list", "code"])
-
-    coded = materialize(rows.mapInArrow(encode, "vec_id long, list int, code binary"), "codes")
-    sizes = dict.fromkeys(range(len(index.lists)), 0) | {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row per list
-    size_of = np.array([sizes[i] for i in range(len(index.lists))])
-    chunks = np.maximum(1, -(-size_of // CHUNK_ROWS))
-    chunk_of = spark.sparkContext.broadcast((size_of, chunks))
-    chunk = F.pmod(F.xxhash64("vec_id"), F.get(F.lit([int(c) for c in chunks]), F.col("list"))).cast("int")
+            if b.num_rows:
+                home, codes = sent.value.encode(matrix(b.column("v")))
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(home.astype(np.int32)), pa.array(list(map(bytes, codes)), pa.binary())], names=["vec_id", "v", "list", "code"])
+
+    coded = materialize(rows.mapInArrow(encode, f"vec_id long, v {vector}, list int, code binary"), "codes")
+    counted = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list
+    sizes = np.array([counted.get(i, 0) for i in range(len(index.lists))])
+    group_of = deal(sizes, CHUNK_ROWS, max(LEAST_GROUPS, -(-n // tile_rows)))
+    parts = max(1, -(-asked // tile_rows))
+    plan = spark.sparkContext.broadcast((sizes, group_of))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = plan.value[1]
+        for b in batches:
+            group = [groups[i][h % len(groups[i])] for i, h in zip(b.column("list").to_pylist(), b.column("h").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), *(b.column(c) for c in ("vec_id", "v", "list", "code"))], names=["group", "vec_id", "v", "list", "code"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, pieces = chunk_of.value
+        size, groups = plan.value
+        holds = np.zeros((1 + max(max(x) for x in groups), len(size)), bool)
+        for i, x in enumerate(groups):
+            holds[x, i] = size[i] > 0
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 b = whole.slice(a, 512)
                 order = np.argsort(-(matrix(b.column("v")) @ sent.value.lists.T), 1, kind="stable")
                 held = np.cumsum(size[order], 1) - size[order]
-                wanted = ((np.arange(order.shape[1]) < probes) | (held < 10 * k)) & (size[order] > 0)
-                who, at = np.nonzero(wanted)
-                home = order[who, at]
-                who, part = np.repeat(who, pieces[home]), np.concatenate([np.arange(c) for c in pieces[home]])
-                home = np.repeat(home, pieces[home])
-                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(part.astype(np.int32)), b.column("vec_id").take(pa.array(who)), b.column("v").take(pa.array(who))], names=["list", "chunk", "query_id", "q"])
-
-    queries = rows.where(is_query)
-    visits = queries.mapInArrow(visit, f"list int, chunk int, query_id long, q {rows.schema['v'].dataType.simpleString()}")
-
-    def scan(held: pa.Table, asked: pa.Table) -> pa.Table:
+                wanted = np.zeros(order.shape, bool)
+                np.put_along_axis(wanted, order, (np.arange(order.shape[1]) < np.ceil(probes * order.shape[1])) | (held < 10 * k), 1)
+                for g, has in enumerate(holds):
+                    here = wanted & has
+                    who = np.flatnonzero(here.any(1))
+                    lists = [np.flatnonzero(x).astype(np.int16) for x in here[who]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), g, np.int32)), b.column("vec_id").take(pa.array(who)), b.column("v").take(pa.array(who)), pa.array(lists, pa.list_(pa.int16()))], names=["group", "query_id", "q", "lists"])
+
+    part = F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(parts)).cast("int")
+    visits = rows.where(is_query).select("vec_id", "v").mapInArrow(visit, f"group int, query_id long, q {vector}, lists array<smallint>").withColumn("part", part)
+    held = coded.withColumn("h", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))).mapInArrow(place, f"group int, vec_id long, v {vector}, list int, code binary")
+    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def scan(asked: pa.Table, held: pa.Table) -> pa.Table:
         found = []
         if held.num_rows and asked.num_rows:
             held = held.sort_by("vec_id")
-            ids = held.column("vec_id").to_numpy()
+            ids, home, v = held.column("vec_id").to_numpy(), held.column("list").to_numpy(), matrix(held.column("v"), kind)
             codes = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            asks, q, home = asked.column("query_id").to_numpy(), matrix(asked.column("q")), held.column("list")[0].as_py()
             step = max(1, (1 << 21) // len(ids))
-            for a in range(0, len(asks), step):
-                for who, score in zip(asks[a : a + step], sent.value.scores(q[a : a + step], home, codes), strict=True):
-                    top = best(np.where(ids == who, -np.inf, score), shortlist)
-                    top = top[ids[top] != who]
-                    found.append((np.full(len(top), who), ids[top], score[top]))
-        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
-        return pa.table([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.float32))], names=["query_id", "vec_id", "near"])
-
-    held = coded.withColumn("chunk", chunk)
-    scanned = visits.groupBy("list", "chunk").cogroup(held.groupBy("list", "chunk")).applyInArrow(lambda asked, held: scan(held, asked), "query_id long, vec_id long, near float")
-    in_order = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    short = scanned.withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= shortlist).select("query_id", "vec_id")
-    paired = short.join(rows, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                score = (matrix(b.column("q"), np.float64) * matrix(b.column("v"), np.float64)).sum(1)
-                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("vec_id"), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    reranked = paired.select("query_id", "vec_id", "q", "v").mapInArrow(exact, "query_id long, vec_id long, score double")
+            for a in range(0, asked.num_rows, step):
+                some = asked.slice(a, step)
+                q, lists = matrix(some.column("q")), some.column("lists").to_pylist()
+                near = sent.value.scores(q, home, codes)
+                wanted = np.zeros((len(q), len(sent.value.lists)), bool)
+                for w, x in zip(wanted, lists, strict=True):
+                    w[x] = True
+                near[~wanted[:, home]] = -np.inf
+                for who, score, exact in zip(some.column("query_id").to_pylist(), near, matrix(some.column("q"), np.float64), strict=True):
+                    at = np.searchsorted(ids, who)
+                    if at < len(ids) and ids[at] == who:
+                        score[at] = -np.inf
+                    top = best(score, shortlist)
+                    top = np.sort(top[score[top] > -np.inf])
+                    inner = (v[top] * exact).sum(1)
+                    top, inner = (x[np.lexsort((ids[top], -inner))[:k]] for x in (top, inner))
+                    found.append((np.full(len(top), who), ids[top], inner))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(x) for x in columns], names=["query_id", "vec_id", "score"])
+
+    scanned = visits.groupBy("group", "part").cogroup(held.groupBy("group", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return reranked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scanned.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
