@@ -28,7 +28,7 @@ TILE_ROWS = 131_072
 LEAST_GROUPS = 12
 #: Share of the lists that a query visits. Vectors without clusters need over half of the lists for a recall of 0.9; clustered ones far less.
 PROBES = 0.6
-SHORTLIST = 120
+SHORTLIST = 200
 SUBSPACES = 16
 CODES = 256
 
