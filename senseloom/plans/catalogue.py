@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from senseloom.plans import corpus
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES}
+ORACLES: dict[str, str] = {**corpus.ORACLES}
