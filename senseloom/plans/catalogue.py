@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from senseloom.plans import corpus
+from senseloom.plans import corpus, vectors
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES}
-ORACLES: dict[str, str] = {**corpus.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **vectors.QUERIES}
+ORACLES: dict[str, str] = {**corpus.ORACLES, **vectors.ORACLES}
