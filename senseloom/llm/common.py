@@ -67,3 +67,29 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Ite
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def parts_of(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """A text in parts of at most ``most`` characters, cut at spaces where there are any."""
+    at = 0
+    while len(text) - at > most:
+        end = text.rfind(" ", at + 1, at + most)
+        end = end if end > 0 else at + most
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def batched_parts(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[list[int], list[str]]]:
+    """Parts of all texts in batches of about ``most`` characters, with the place of each part's text."""
+    of, parts, held = [], [], 0
+    for i, text in enumerate(texts):
+        for part in parts_of(text, most):
+            if parts and held + len(part) > most:
+                yield of, parts
+                of, parts, held = [], [], 0
+            of.append(i)
+            parts.append(part)
+            held += len(part)
+    if parts:
+        yield of, parts

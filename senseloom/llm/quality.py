@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from senseloom.llm.common import slices
+from senseloom.llm.common import batched_parts, slices
 from senseloom.llm.labelled import fold, labelled_sample
 
 SAMPLE_PER_CLASS = 2_000
@@ -47,7 +47,16 @@ def _runs(buffer: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def features(texts: list[str]) -> np.ndarray:
-    """Dense (texts, FEATURES) matrix of damped counts, rows of length 1; an empty text is a row of zeros."""
+    """Dense (texts, FEATURES) matrix of damped counts, rows of length 1; an empty text is a row of zeros. Very long texts are counted in parts."""
+    total = np.zeros((len(texts), FEATURES), np.int64)
+    for of, parts in batched_parts(texts):
+        np.add.at(total, np.array(of), counts(parts))
+    x = np.log1p(total).astype(np.float32)
+    return x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+
+
+def counts(texts: list[str]) -> np.ndarray:
+    """Dense (texts, FEATURES) matrix of feature counts."""
     raw = [x.encode() for x in texts]
     buffer = np.frombuffer(b"\n".join(raw) + b"\n\n\n\n", np.uint8)
     begins = np.r_[0, np.cumsum([len(x) + 1 for x in raw])[:-1]].astype(np.int64)
@@ -78,10 +87,9 @@ def features(texts: list[str]) -> np.ndarray:
         add(salt, at, same)
         if len(at) > 1:
             add(salt + 1, at[1:], same[1:], same[:-1])
-    counts = np.bincount(np.concatenate(rows) * FEATURES + np.concatenate(cols), minlength=len(texts) * FEATURES)[: len(texts) * FEATURES].reshape(len(texts), FEATURES)
-    counts[np.array([not x.strip() for x in raw], bool)] = 0
-    x = np.log1p(counts).astype(np.float32)
-    return x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+    found = np.bincount(np.concatenate(rows) * FEATURES + np.concatenate(cols), minlength=len(texts) * FEATURES)[: len(texts) * FEATURES].reshape(len(texts), FEATURES)
+    found[np.array([not x.strip() for x in raw], bool)] = 0
+    return found
 
 
 @dataclass

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from senseloom.llm.common import slices
+from senseloom.llm.common import batched_parts, slices
 from senseloom.llm.labelled import fold, labelled_sample
 
 #: Documents of either class to learn from, and the longest text that is drawn.
@@ -73,10 +73,14 @@ class Model:
     stretch: int
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        """Of each text the logit of its worst stretch; a text without words has the bias alone."""
-        s = subwords(texts, self.bits, self.orders, self.stretch)
+        """Of each text the logit of its worst stretch; a text without words has the bias alone.
+
+        Texts of more than a million characters are read in parts, cut between words, so memory is bounded; the worst stretch of any part counts.
+        """
         out = np.full(len(texts), -np.inf)
-        np.maximum.at(out, s.text, stretch_logits(s, self.value) + self.bias)
+        for of, parts in batched_parts(texts):
+            s = subwords(parts, self.bits, self.orders, self.stretch)
+            np.maximum.at(out, np.array(of)[s.text], stretch_logits(s, self.value) + self.bias)
         return np.where(np.isinf(out), self.bias, out)
 
 
