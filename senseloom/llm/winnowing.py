@@ -108,7 +108,7 @@ def with_next(docs: DataFrame, extra: dict[str, Column], bucket_bytes: int = BUC
     firsts = firsts.select("_first", F.coalesce(F.lag("_bucket").over(in_order), F.max("_bucket").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
     firsts = materialize(firsts, "firsts")  # at most MOST_BUCKETS rows
     guests = keyed.join(F.broadcast(firsts), F.col("_key") == F.col("_first")).select("doc_id", "text", "_key", F.col("_to").alias("_bucket"), F.lit(1).alias("_guest"))
-    everyone = keyed.withColumn("_guest", F.lit(0)).unionByName(guests).repartition(buckets, "_bucket")
+    everyone = keyed.withColumn("_guest", F.lit(0)).unionByName(guests).repartitionById(buckets, "_bucket")
     order = Window.partitionBy("_bucket").orderBy("_guest", "_key", "text")
     following = everyone.withColumns(extra).withColumn("next", F.lead(F.struct("text", *extra)).over(order))
     return following.where("_guest = 0").select("doc_id", "text", *extra, "next")
