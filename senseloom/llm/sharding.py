@@ -30,7 +30,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = SEED, buck
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     buckets = int(max(1, -(-(total["bytes"] + 64 * total["n"]) // bucket_bytes)))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(buckets)).cast("long")
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(buckets)).cast("int")
     scattered = docs.select(*kept, bucket.alias("_bucket"))
     counts = materialize(scattered.groupBy("_bucket").agg(F.count("*").alias("_n")), "buckets")
     starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
@@ -43,7 +43,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = SEED, buck
         return bucket.select(kept).append_column("shard", pa.array((at % shards).astype(np.int32))).append_column("slot", pa.array(at // shards))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return placed.groupBy("_bucket").applyInArrow(shuffle, f"{schema}, shard int, slot long")
+    return placed.repartitionById(buckets, "_bucket").groupBy("_bucket").applyInArrow(shuffle, f"{schema}, shard int, slot long")
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
