@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from senseloom.functions.storage import stored
 from senseloom.operators import graph, index, itemsets, link, senses, substitutes, text
 from senseloom.plans import sql
+from senseloom.streaming import increment
 
 #: The test corpora are small: a sense needs a second token in more than so many instances, a strong edge so many.
 MIN_SECOND = 2
@@ -103,6 +104,18 @@ def packed_turns(c: Corpus) -> DataFrame:
     return text.pack_consecutive(turns, ["conv_id"], "turn", F.size(F.split("text", " ")), 64)
 
 
+def inferred(c: Corpus) -> DataFrame:
+    """Senses of the three lemmas that have most of them."""
+    many = c.inventory.groupBy("lemma").agg(F.countDistinct("sense_id").alias("n")).orderBy(F.desc("n"), "lemma").limit(3)
+    return link.infer_by_list(c.inventory, [r["lemma"] for r in many.collect()])
+
+
+def shuffled(c: Corpus) -> DataFrame:
+    """Documents in a seeded order for display."""
+    order = F.md5(F.concat(F.lit("111:"), F.col("doc_id").cast("string")))
+    return c.docs.select("doc_id", order.alias("place")).orderBy("place", "doc_id")
+
+
 def frequent_pairs(c: Corpus) -> DataFrame:
     return itemsets.apriori(c.stage, 3)
 
@@ -156,6 +169,13 @@ CATALOGUE = {
     "vocab_stats": (lambda c: text.vocabulary_stats(c.vocab), st("SELECT count(*) AS n_tokens, count_if(is_half)::BIGINT AS n_half, count_if(is_stop)::BIGINT AS n_stop, count_if(NOT is_half AND NOT is_stop)::BIGINT AS n_valid, count_if(token = lemma)::BIGINT AS n_unchanged, count_if(token <> lemma)::BIGINT AS n_changed FROM vocab", TOK)),
     "annotatable_lemmas": (lambda c: text.annotatable_lemmas(c.vocab), st(f"SELECT DISTINCT lemma FROM vocab WHERE {sql.valid('lemma')}", TOK)),
     "inverted_index": (lambda c: c.index.select("lemma", "file_id", "pos"), st("SELECT lemma, file_id, pos FROM idx", TOK)),
+    "index_positions": (lambda c: index.positions(c.index).select("lemma", "file_id", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions")), st("SELECT lemma, file_id, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM idx GROUP BY ALL", TOK)),
+    "pending_lemmas": (lambda c: increment.pending(text.annotatable_lemmas(c.vocab), c.inventory, ["lemma"]), st(f"SELECT DISTINCT lemma FROM vocab WHERE {sql.valid('lemma')} EXCEPT SELECT lemma FROM sense", *SENSE, recursive=True)),
+    "display_order": (shuffled, "SELECT doc_id, md5('111:' || doc_id) AS place FROM documents"),
+    "infer_senses_by_list": (inferred, st("SELECT a.lemma || '_' || a.sense_id || ' ' || b.lemma || '_' || b.sense_id || ' ' || c.lemma || '_' || c.sense_id AS senses, 0.0::DOUBLE + j_ba.score + j_ca.score + j_cb.score AS score FROM sets a JOIN sets b ON true JOIN sets c ON true JOIN pair j_ba ON j_ba.x = b.name AND j_ba.y = a.name JOIN pair j_ca ON j_ca.x = c.name AND j_ca.y = a.name JOIN pair j_cb ON j_cb.x = c.name AND j_cb.y = b.name WHERE a.place = 1 AND b.place = 2 AND c.place = 3", *SENSE, sql.LINKS, """
+chosen AS (SELECT lemma, row_number() OVER (ORDER BY n DESC, lemma) AS place FROM (SELECT lemma, count(DISTINCT sense_id) AS n FROM sense GROUP BY lemma) ORDER BY n DESC, lemma LIMIT 3),
+sets AS (SELECT s.lemma, s.sense_id, s.lemma || '_' || s.sense_id AS name, c.place, list(g.token) AS tokens FROM (SELECT DISTINCT lemma, sense_id FROM sense) s JOIN chosen c USING (lemma) JOIN sig g ON g.sense = s.lemma || '_' || s.sense_id GROUP BY ALL),
+pair AS (SELECT x.name AS x, y.name AS y, len(list_intersect(x.tokens, y.tokens)) / (len(x.tokens) + len(y.tokens) - len(list_intersect(x.tokens, y.tokens))) AS score FROM sets x JOIN sets y ON x.name <> y.name)""", recursive=True)),
     "index_summary": (lambda c: index.summary(c.index), st("SELECT lemma, count(*) AS matches, count(DISTINCT file_id) AS files FROM idx GROUP BY lemma", TOK)),
     "index_lookup": (lambda c: index.look_up(c.index, LEMMAS).select("lemma", "file_id", "pos"), st(f"SELECT lemma, file_id, pos FROM idx WHERE lemma IN ({_LIST})", TOK)),
     "context_fillers": (lambda c: c.fillers.select("prev", "next", "token", "cnt", "rank"), st("SELECT prev, next, token, cnt, rank FROM fill", TOK, FILL)),
