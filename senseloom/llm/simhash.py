@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from senseloom.llm.common import materialize, maybe_broadcast
@@ -50,14 +50,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, fp): the fingerprint's 64 bits as a long. A null, empty or blank text has fingerprint 0."""
+    """Rows (doc_id, text_hash, fp): the fingerprint's 64 bits as a long. A null, empty or blank text has fingerprint 0."""
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(x.as_py(), shingle) for x in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(x.as_py(), shingle) for x in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rate, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(rate, "doc_id long, text_hash long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -179,6 +179,16 @@ def fingerprint_links(distinct: DataFrame, most: int = BITS_APART, block_rows: i
     return placed.groupBy("band", "block").applyInPandas(link, "u long, v long")
 
 
+def _grouped(docs: DataFrame, shingle: int, most: int) -> DataFrame:
+    """Rows (doc_id, text_hash, fp, root, component_id): each document's group, named by a fingerprint and by its smallest doc_id."""
+    each = materialize(fingerprints(docs, shingle), "simhash")
+    distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    group = components(fingerprint_links(distinct.select("fp"), most))
+    rooted = distinct.join(group, distinct["fp"] == group["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return each.join(named, "fp")
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, most: int = BITS_APART) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest doc_id reachable by links.
 
@@ -186,20 +196,17 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, most: int = BITS_APART)
     Repeated rows are returned as often as they come; a null doc_id takes part but never names a component unless all its members are null.
     Other columns are ignored.
     """
-    each = materialize(fingerprints(docs, shingle), "simhash")
-    distinct = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    group = components(fingerprint_links(distinct.select("fp"), most))
-    rooted = distinct.join(group, distinct["fp"] == group["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(docs, shingle, most).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, most: int = BITS_APART) -> DataFrame:
-    """Keep one document of each group of near copies: that of the smallest doc_id.
+    """Keep one document of each group of near copies: that of the smallest doc_id (null last), of one id's texts that of the smallest hash.
 
-    ``doc_id`` names a document, so of repeated rows of one id the one with the smallest text (null first) stays; rows without an id are
-    one document too, kept if no other document is like it. All columns are kept.
+    Documents of different groups stay, even under one id or without one. Of rows alike in id and text one stays, whichever its other
+    columns. All columns are kept. Groups are reduced by partial aggregates, so a hot group costs a row per task.
     """
-    chosen = near_copies(docs, shingle, most).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1").drop("_nth")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    chosen = _grouped(docs, shingle, most).groupBy("root").agg(F.min(place).alias("first")).select(F.col("first.doc_id").alias("_kept"), F.col("first.text_hash").alias("_kept_hash"))
+    marked = docs.withColumn("_hash", F.xxhash64("text"))
+    kept = marked.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")

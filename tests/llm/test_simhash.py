@@ -66,6 +66,12 @@ def test_near_copies_with_odd_rows(spark):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 5, 11]
 
 
+def test_documents_without_an_id_stay(spark):
+    rows = [(None, "the first of them says this", 1), (None, "and another one says something else", 2), (None, "and another one says something else", 2), (4, "an id that comes twice", 3), (4, "with quite different words in it", 4), (None, None, 5), (8, " ", 6)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, extra int")).collect()
+    assert sorted(r["extra"] for r in kept) == [1, 2, 3, 4, 6]
+
+
 def test_empty_table(spark):
     assert simhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
