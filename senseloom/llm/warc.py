@@ -206,7 +206,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     segment_types = pa.schema([("record_id", text), ("origin", text), ("segment", pa.int32()), ("total", long), ("record_type", text), ("uri", text), ("page_id", long), ("refers_to", long), ("digest", text), ("block", pa.binary())])
     record_types = pa.schema([("record_id", text), ("record_type", text), ("uri", text), ("page_id", long), ("refers_to", long), ("payload_bytes", long), ("payload_digest", text), ("payload", pa.binary()), ("complete", pa.bool_())])
     batch = lambda rows, schema: pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-    parsed = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(split, _SEGMENTS)
+    parsed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content").mapInArrow(split, _SEGMENTS)
     part = F.struct("segment", "block")
     single = parsed.where("segment IS NULL").select("record_id", "record_type", "uri", "page_id", "refers_to", "digest", "total", F.array(part).alias("parts"))
     head = lambda c: F.max(F.when(F.col("record_type") != "continuation", F.col(c))).alias(c)
