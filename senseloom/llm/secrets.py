@@ -2,7 +2,7 @@
 
 Strong finds stand alone: assignments, access identifiers and long hex runs. Weak candidates (short or unusual identifiers, short
 assigned values, unlabelled 40-character keys, endpoints) mean nothing by themselves. They are interval-joined with their complementary parts:
-candidates whose spans lie in one scope (a paragraph) within ``reach`` characters of each other. A weak identifier is reported next to a
+candidates whose spans lie in one scope (a paragraph), by default anywhere in it, else within ``reach`` characters of each other. A weak identifier is reported next to a
 secret, a weak secret next to an identifier, an endpoint only where an identifier and a secret both are near.
 """
 
@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-REACH = 400
+#: The whole scope.
+REACH = sys.maxsize
+_WEAK_ID = "AKIA|ASIA|AROA|AIDA|AGPA"
 
 #: Base kinds in the order in which spans that start together are listed; the number is the group whose length counts and the least length.
 BASE = {
@@ -27,7 +31,7 @@ BASE = {
 }
 #: Weak kinds: the part each of them would be.
 WEAK = {
-    "weak_id": ("id", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AROA|AIDA|AGPA)[A-Z0-9]{8,124}(?![A-Za-z0-9])")),
+    "weak_id": ("id", re.compile(rf"(?<![A-Za-z0-9])(?:{_WEAK_ID})[A-Z0-9]{{8,124}}(?![A-Za-z0-9])")),
     "weak_key": ("secret", re.compile(r"(?<![A-Za-z0-9+/=])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")),
     "weak_assign": ("secret", re.compile(r"(?<![A-Za-z0-9])(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{6,11})(?![A-Za-z0-9+/_.=-])", re.I | re.A)),
     "endpoint": ("endpoint", re.compile(r"(?:https?|s3|ftp|postgres|mysql|mongodb|redis|amqp)://[^\x00-\x20\"'<>]+")),
@@ -51,15 +55,15 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _near(spans: list[Span], start: int, end: int, reach: int) -> bool:
-    """Does one of the sorted, scope-bound spans come within ``reach`` of [start, end)?"""
+def _near(spans: list[Span], ends: list[int], start: int, end: int, reach: int) -> bool:
+    """Does one of the sorted, scope-bound spans come within ``reach`` of [start, end)? ``ends`` has the furthest end up to each of them."""
     i = bisect_left(spans, (start, -1, -1))
-    return (i < len(spans) and spans[i][0] <= end + reach) or (i > 0 and spans[i - 1][2] >= start - reach)
+    return (i < len(spans) and spans[i][0] <= end + reach) or (i > 0 and ends[i - 1] >= start - reach)
 
 
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """Weak candidates whose complementary parts co-occur with them in a scope, by an interval join over sorted spans."""
-    if not base and not ("://" in text or _ASSIGN_HINT.search(text) or re.search("A[KSRIG][IO]A", text)):
+    if not base and not ("://" in text or _ASSIGN_HINT.search(text) or re.search(_WEAK_ID, text)):
         return []  # no part that could stand next to another
     strong = {(k, s): e for s, k, e in base}
     weak: list[tuple[str, Span]] = []
@@ -76,10 +80,11 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
         parts.setdefault((bisect_left(scopes, span[0] + 1), part), []).append(span)
     for x in parts.values():
         x.sort()
+    ends = {k: list(accumulate((e for _, _, e in x), max)) for k, x in parts.items()}
     kept = []
     for part, span in weak:
         scope = bisect_left(scopes, span[0] + 1)
-        if all(_near(parts.get((scope, other), []), span[0], span[2], reach) for other in NEEDS[part]):
+        if all(_near(parts.get((scope, other), []), ends.get((scope, other), []), span[0], span[2], reach) for other in NEEDS[part]):
             kept.append(span)
     return sorted(kept)
 
