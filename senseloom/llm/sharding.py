@@ -1,6 +1,6 @@
 """Sharding by a two-pass external shuffle.
 
-First pass: a seeded hash scatters records uniformly into buckets that fit in memory. Second pass: each bucket is put in a fixed order, shuffled by
+First pass: a seeded hash of all columns scatters records uniformly into buckets that fit in memory; of many records alike, each is scattered by its number. Second pass: each bucket is put in a fixed order, shuffled by
 Fisher-Yates with a seed of its own, and its records take the positions after those of the buckets before it. Positions are dealt
 to the shards in turn, so counts differ by one at most and slots have no gaps.
 """
@@ -17,21 +17,39 @@ from senseloom.llm.common import materialize, maybe_broadcast
 
 SEED = 8
 BUCKET_BYTES = 16 << 20
+#: Rows alike that are made anew in one task.
+CHUNK_ROWS = 1000
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Add ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard) to every record, in random order.
 
-    The order depends on ids, texts and the seed alone. Null texts are shuffled like others; records without an id are scattered by their text. Rows
-    alike in id and text are interchangeable and stay in one bucket. Columns of those names are replaced.
+    The order depends on the rows and the seed alone. Null texts and records without an id are shuffled like others. Rows alike in all columns are
+    interchangeable: where they fill a good part of a bucket, one of them stands for all, and its numbered copies are scattered. Columns
+    of those names are replaced.
     """
     if shards < 1:
         raise ValueError("there must be a shard")
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     buckets = int(max(1, -(-(total["bytes"] + 64 * total["n"]) // bucket_bytes)))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(buckets)).cast("int")
-    scattered = docs.select(*kept, bucket.alias("_bucket"))
+    columns = [F.col(f"`{c}`") for c in kept]
+    nulls = F.concat(*(F.when(c.isNull(), "1").otherwise("0") for c in columns))
+    hashed = docs.select(*columns, F.xxhash64(F.lit(seed), nulls, *columns).alias("_a"), F.xxhash64(F.lit(seed + 1), nulls, *columns).alias("_b"))
+    size = F.max(F.coalesce(F.octet_length("text"), F.lit(0))) + 64
+    many = hashed.groupBy("_a", "_b").agg(F.count("*").alias("_many"), size.alias("_size")).where((F.col("_many") > 1) & (F.col("_many") * F.col("_size") > bucket_bytes // 8))
+    many = materialize(many.select("_a", "_b", "_many"), "alike")
+    rows = hashed.select(*columns, "_a", F.lit(0).cast("long").alias("_nth"))
+    if held := many.count():
+        small = maybe_broadcast(many, held)
+        single = hashed.join(small, ["_a", "_b"], "left_anti").select(*columns, "_a", F.lit(0).cast("long").alias("_nth"))
+        # One of the rows alike travels, and is made anew in as many tasks as it has chunks.
+        one = hashed.join(small, ["_a", "_b"]).groupBy("_a", "_b").agg(F.first(F.struct(*columns)).alias("_row"), F.first("_many").alias("_many"))
+        chunks = one.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_many") - 1, F.lit(CHUNK_ROWS).cast("long")))).repartition("_a", "_from")
+        made = chunks.withColumn("_nth", F.explode(F.sequence("_from", F.least(F.col("_from") + CHUNK_ROWS, "_many") - 1)))
+        rows = single.unionByName(made.select("_row.*", "_a", "_nth"))
+    bucket = F.pmod(F.xxhash64("_a", "_nth"), F.lit(buckets)).cast("int")
+    scattered = rows.select(*columns, bucket.alias("_bucket"))
     counts = materialize(scattered.groupBy("_bucket").agg(F.count("*").alias("_n")), "buckets")
     starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     placed = scattered.join(maybe_broadcast(starts, buckets), "_bucket")
