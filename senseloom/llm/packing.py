@@ -31,7 +31,7 @@ BUCKET_ROWS = 50_000
 _LETTER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
-#: Texts with any of these go whole through the tokenizer itself.
+#: Texts with any of these, as written or in lower case, go whole through the tokenizer itself: some letters below U+0250 have their lower case above it.
 _ODD = "[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{130}]|[^\\x{0}-\\x{24f}]|<\\|"
 
 
@@ -67,9 +67,9 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (int32), and how many each text has."""
-        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(odd), "", texts)
-        lists = pc.ascii_split_whitespace(pc.utf8_lower(plain))
+        lower = pc.utf8_lower(texts)
+        odd = pc.or_(pc.match_substring_regex(texts, _ODD), pc.match_substring_regex(lower, _ODD)).to_numpy(zero_copy_only=False)
+        lists = pc.ascii_split_whitespace(pc.if_else(pa.array(odd), "", lower))
         words = lists.flatten().dictionary_encode()
         ids = [self._word(w) for w in words.dictionary.to_pylist()]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -211,7 +211,9 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = best_fit_decreasing(counts, window)
     buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS))
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
+    # Where the pieces have a digest or ids, pieces of one (or no) doc_id are spread by these too.
+    told = [c for c in ("ids_crc32", "ids") if c in pieces.columns]
+    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", *told), F.lit(buckets)).cast("int"))
     before = (
         keyed.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
         .withColumn("_before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
