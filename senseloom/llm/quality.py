@@ -47,47 +47,56 @@ def _runs(buffer: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def features(texts: list[str]) -> np.ndarray:
-    """Dense (texts, FEATURES) matrix of damped counts, rows of length 1; an empty text is a row of zeros. Very long texts are counted in parts."""
+    """Dense (texts, FEATURES) matrix of damped counts, rows of length 1, in steps of 2**-16; an empty text is a row of zeros. Very long texts are counted in parts."""
     total = np.zeros((len(texts), FEATURES), np.int64)
     for of, parts in batched_parts(texts):
         np.add.at(total, np.array(of), counts(parts))
-    x = np.log1p(total).astype(np.float32)
-    return x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+    x = np.log1p(total.astype(float))
+    return in_steps(x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True)), 16)
+
+
+def in_steps(x: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers rounded to multiples of 2**-bits: sums of their products are exact in double precision, so they do not hang on the order of the terms or the size of a batch."""
+    return np.round(x * (1 << bits)) / (1 << bits)
 
 
 def counts(texts: list[str]) -> np.ndarray:
-    """Dense (texts, FEATURES) matrix of feature counts."""
+    """Dense (texts, FEATURES) matrix of feature counts. A text's counts hang on that text alone: runs stop where it begins and ends."""
     raw = [x.encode() for x in texts]
-    buffer = np.frombuffer(b"\n".join(raw) + b"\n\n\n\n", np.uint8)
-    begins = np.r_[0, np.cumsum([len(x) + 1 for x in raw])[:-1]].astype(np.int64)
+    buffer = np.frombuffer(b"".join(x + b"\n" for x in raw), np.uint8)
+    sizes = np.array([len(x) + 1 for x in raw], np.int64)
+    begins = np.cumsum(sizes) - sizes
     shape = _SHAPE[buffer]
-    # Runs of one shape; three and four of them in a row.
-    change = np.flatnonzero(np.r_[True, shape[1:] != shape[:-1]])
+    # Runs of one shape; two to four of them in a row. The line feed after a text is a run of its own.
+    new = np.r_[True, shape[1:] != shape[:-1]] if len(shape) else np.zeros(0, bool)
+    new[begins] = new[begins + sizes - 1] = True
+    change = np.flatnonzero(new)
     length = np.minimum(np.diff(np.r_[change, len(shape)]), 6).astype(np.uint32)
     kind = shape[change].astype(np.uint32) + np.uint32(256) * (length > 2)
+    text_of_run = np.searchsorted(begins, change, "right") - 1
     rows, cols = [], []
 
-    def add(salt: int, at: np.ndarray, *parts: np.ndarray) -> None:
-        row = np.searchsorted(begins, at, "right") - 1
+    def add(salt: int, row: np.ndarray, *parts: np.ndarray) -> None:
         rows.append(row)
-        cols.append(_hash(np.full(len(at), salt), *parts) % FEATURES)
-
-    m = len(change) - 4
-    if m > 0:
-        add(1, change[:m], kind[:m], kind[1 : m + 1])
-        add(2, change[:m], kind[:m], kind[1 : m + 1], kind[2 : m + 2])
-        add(3, change[:m], kind[:m], kind[1 : m + 1], kind[2 : m + 2], kind[3 : m + 3])
-    for salt, ends in ((10, (shape == 32) | (shape == 10)), (20, shape == 10)):
+        cols.append(_hash(np.full(len(row), salt), *parts) % FEATURES)
+
+    for n in (2, 3, 4):
+        m = max(0, len(change) - n + 1)
+        at = np.flatnonzero(text_of_run[:m] == text_of_run[n - 1 : n - 1 + m])
+        add(n - 1, text_of_run[at], *(kind[at + i] for i in range(n)))
+    separator = np.zeros(len(shape), bool)
+    separator[begins + sizes - 1] = True
+    for salt, ends in ((10, (shape == 32) | (shape == 10)), (20, (shape == 10) | separator)):
         at, key = _runs(buffer, ends)
         row = np.searchsorted(begins, at, "right") - 1
         same = np.zeros(len(at), np.uint32)
         for back in (1, 2, 3):
             if len(at) > back:
                 same[back:] |= ((key[back:] == key[:-back]) & (row[back:] == row[:-back])).astype(np.uint32) << np.uint32(back)
-        add(salt, at, same)
-        if len(at) > 1:
-            add(salt + 1, at[1:], same[1:], same[:-1])
-    found = np.bincount(np.concatenate(rows) * FEATURES + np.concatenate(cols), minlength=len(texts) * FEATURES)[: len(texts) * FEATURES].reshape(len(texts), FEATURES)
+        add(salt, row, same)
+        inner = np.flatnonzero(row[1:] == row[:-1]) + 1
+        add(salt + 1, row[inner], same[inner], same[inner - 1])
+    found = np.bincount(np.concatenate(rows) * FEATURES + np.concatenate(cols), minlength=len(texts) * FEATURES).reshape(len(texts), FEATURES)
     found[np.array([not x.strip() for x in raw], bool)] = 0
     return found
 
@@ -105,8 +114,7 @@ class Model:
         out = np.full(len(texts), self.prior)
         if not len(self.labels):
             return out
-        latent = features(texts) @ self.project
-        latent /= np.maximum(1e-9, np.linalg.norm(latent, axis=1, keepdims=True))
+        latent = unit(features(texts) @ self.project)
         k = min(self.neighbours, len(self.labels))
         for a in range(0, len(texts), block):
             near = latent[a : a + block] @ self.vectors.T
@@ -119,31 +127,35 @@ class Model:
         return out
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in steps of 2**-22."""
+    return in_steps(x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True)), 22)
+
+
 def train(texts: list[str], labels: list[float], dim: int = 48, neighbours: int = 15, seed: int = SEED) -> Model:
     """Randomized truncated SVD of the weighted features of the labelled texts."""
     y = np.array(labels, float)
     prior = float((y.sum() + 0.5) / (len(y) + 1))
     if not len(y):
-        return Model(np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), y, prior, neighbours)
+        return Model(np.zeros((FEATURES, 1)), np.zeros((0, 1)), y, prior, neighbours)
     x = np.concatenate([features(texts[a : a + 200]) for a in range(0, len(texts), 200)])
-    idf = (np.log((1 + len(y)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
-    x *= idf
+    idf = np.log((1 + len(y)) / (1 + (x > 0).sum(0))) + 1
+    weighted = (x * idf).astype(np.float32)
     rng = np.random.default_rng(seed)
-    basis = x.T @ (x @ rng.normal(size=(FEATURES, min(dim + 10, FEATURES))).astype(np.float32))
+    basis = weighted.T @ (weighted @ rng.normal(size=(FEATURES, min(dim + 10, FEATURES))).astype(np.float32))
     for _ in range(3):
-        basis = x.T @ (x @ np.linalg.qr(basis)[0])
+        basis = weighted.T @ (weighted @ np.linalg.qr(basis)[0])
     q = np.linalg.qr(basis)[0]
-    _, _, right = np.linalg.svd(x @ q, full_matrices=False)
-    project = (q @ right.T[:, :dim]).astype(np.float32)
-    vectors = x @ project
-    vectors /= np.maximum(1e-9, np.linalg.norm(vectors, axis=1, keepdims=True))
-    return Model(idf[:, None] * project, vectors, y, prior, neighbours)
+    _, _, right = np.linalg.svd(weighted @ q, full_matrices=False)
+    project = in_steps(idf[:, None] * (q @ right.T[:, :dim]), 16)
+    return Model(project, unit(x @ project), y, prior, neighbours)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) to every row; a null or empty text gets the prior.
+    """Add ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) to every row; a null, empty or blank text gets the prior.
 
-    The model is broadcast; its size is bounded by the sample. Columns of those names are replaced.
+    A text's score hangs on that text and the model alone: equal texts have equal scores in any partitioning. Repeated rows are scored each. The model is
+    broadcast; its size is bounded by the sample. Columns of those names are replaced; an empty table gives an empty one.
     """
     kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
