@@ -59,7 +59,7 @@ def cuts(docs: DataFrame, parts: DataFrame, rated: DataFrame) -> DataFrame:
     wanted = ((F.col("rate") - F.floor("rate")) * F.col("source_size")).alias("wanted")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.join(maybe_broadcast(rated.select(F.col("source").alias("_source"), wanted)), F.col("source").eqNullSafe(F.col("_source"))).withColumn("_before", F.coalesce(F.sum("part_size").over(before), F.lit(0)))
-    edge = placed.where((F.col("_before") <= F.col("wanted")) & (F.col("wanted") < F.col("_before") + F.col("part_size"))).select("_source", "part", "_before", "wanted")
+    edge = placed.where((F.col("wanted") > 0) & (F.col("_before") <= F.col("wanted")) & (F.col("wanted") < F.col("_before") + F.col("part_size"))).select("_source", "part", "_before", "wanted")
     edge = materialize(edge, "edge")
     near = docs.join(maybe_broadcast(edge), F.col("source").eqNullSafe(F.col("_source")) & (F.substring("draw", 1, DIGITS) == F.col("part")))
     near = near.groupBy("_source", "draw").agg(F.sum("size").alias("n"), F.first("_before").alias("_before"), F.first("wanted").alias("wanted"))

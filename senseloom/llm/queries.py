@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from senseloom.llm import ann, mixing, packing, quality, secrets, sharding, simhash, toxicity, warc, winnowing
-from senseloom.llm.common import table
+from senseloom.llm.common import new_path, table
 from senseloom.llm.labelled import fold
 
 
@@ -50,9 +50,12 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``rows``: eight shards are written to the shared folder, and the result is read from there."""
     sharded = sharding.shuffle_into_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    path = new_path(spark, "shards")
+    sharding.write_shards(sharded, path)
     text = F.coalesce("text", F.lit(""))
-    return sharded.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return sharding.read_shards(spark, path, sharded).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
