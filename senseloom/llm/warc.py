@@ -9,19 +9,20 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from senseloom.llm.common import materialize, new_path
+from senseloom.llm.common import materialize, maybe_broadcast, new_path
 
 SEGMENT_CHARS = 32_768
 CHUNK_CHARS = 8_192
 FILE_RECORDS = 5_000
+#: Copies of one row that one task numbers.
+COPY_ROWS = 10_000
 CRLF = "\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -47,20 +48,28 @@ def row_key() -> Column:
 
 
 def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One narrow row per page: page_id, url, payload_bytes, payload_digest, record_type, refers_to, copy.
+    """One narrow row per page: page_id, url, payload_bytes, payload_digest, record_type, refers_to, copy, alike.
 
-    Of pages with equal payloads of at least ``min_bytes`` bytes the one with the largest page_id (of those the first url, null first) is the response and
-    the others are revisits that refer to it; smaller payloads are all responses. A null html is an empty payload. Rows alike in all
-    columns are told apart by ``copy``. Payloads are compared by digest and length; the largest id of a payload is a partial aggregate.
+    ``pages`` has page_id, url and payload. Of pages with equal payloads of at least ``min_bytes`` bytes the one with the largest page_id (null last; of those the first url, null first) is the response and
+    the others are revisits that refer to it; smaller payloads are all responses. Rows alike in all
+    columns are told apart by ``copy``, ``alike`` counts them. Payloads are compared by digest and length; the largest id of a payload is a partial aggregate.
     """
     narrow = pages.select(F.col("page_id").cast("long"), "url", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"))
     rows = materialize(narrow.groupBy("page_id", "url", "payload_bytes", "payload_digest").agg(F.count("*").alias("n")), "pages")
     key = ["payload_digest", "payload_bytes"]
-    place = F.struct(F.coalesce(-F.col("page_id"), F.lit((1 << 63) - 1)).alias("down"), url_key().alias("url"))
-    first = rows.groupBy(*key).agg(F.min(place).alias("first"), F.max("page_id").alias("best"))
-    told = rows.join(first, key).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    response = ((place == F.col("first")) & (F.col("copy") == 0)) | (F.col("payload_bytes") < min_bytes)
-    return told.select("page_id", "url", *key, F.when(response, "response").otherwise("revisit").alias("record_type"), F.when(~response, F.col("best")).alias("refers_to"), "copy")
+    first = rows.groupBy(*key).agg(F.min(place()).alias("first"), F.max("page_id").alias("best"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPY_ROWS).cast("long")))
+    # Very many copies of one row are numbered by several tasks.
+    told = rows.join(first, key).withColumn("_from", chunk)
+    told = told.where("n <= " + str(COPY_ROWS)).union(told.where("n > " + str(COPY_ROWS)).repartition("payload_digest", "_from"))
+    told = told.withColumn("copy", F.explode(F.sequence("_from", F.least(F.col("_from") + COPY_ROWS, "n") - 1)))
+    response = ((place() == F.col("first")) & (F.col("copy") == 0)) | (F.col("payload_bytes") < min_bytes)
+    return told.select("page_id", "url", *key, F.when(response, "response").otherwise("revisit").alias("record_type"), F.when(~response, F.col("best")).alias("refers_to"), "copy", F.col("n").alias("alike"))
+
+
+def place() -> Column:
+    """Order of a payload's pages: the largest page_id first, null last, then by url."""
+    return F.struct(F.coalesce(-F.col("page_id"), F.lit((1 << 63) - 1)).alias("down"), url_key().alias("url"))
 
 
 def record_texts(records: DataFrame, segment_chars: int = SEGMENT_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -108,26 +117,59 @@ def write(records: DataFrame, path: str, segment_chars: int = SEGMENT_CHARS, chu
     record_texts(records, segment_chars, chunk_chars).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of an archive; members of gzip are read one after another."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data[:2] == b"\x1f\x8b":
-            z = zlib.decompressobj(31)
-            parts += [z.decompress(data), z.flush()]
-            data = z.unused_data
-        data = b"".join(parts)
-    view, at = io.BytesIO(data), 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """Contents of an archive in parts of about ``step`` bytes; members of gzip are read one after another, and what is broken or cut off ends the data."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    z = zlib.decompressobj(31)
+    while data:
+        try:
+            yield z.decompress(data, step)
+        except zlib.error:
+            return
+        data = z.unconsumed_tail
+        if z.eof:
+            data, z = z.unused_data.lstrip(b"\0"), zlib.decompressobj(31)
+        elif not data:
+            yield z.flush()
+
+
+def parse(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Header fields (names in lower case) and block of each record, read from the parts of an archive; no more than one record and one part are held.
+
+    The block is None where the header states no length or the archive ends before it. Bytes between records are skipped; after a record without a usable length the
+    next one is looked for.
+    """
+    parts, held = iter(parts), bytearray()
+
+    def more() -> bool:
+        part = next(parts, None)
+        held.extend(part or b"")
+        return part is not None
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[: max(0, len(held) - 4)]
+            if not more():
+                return
+        del held[:at]
+        while (end := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
         fields = {}
-        for line in data[at:end].decode("utf-8", "replace").split(CRLF)[1:]:
+        for line in held[: end if end >= 0 else len(held)].decode("utf-8", "replace").split(CRLF)[1:]:
             name, _, value = line.partition(":")
             fields[name.strip().lower()] = value.strip()
-        view.seek(end + 4)
-        block = view.read(int(fields["content-length"]))
-        yield fields, block
-        at = view.tell()
+        stated = fields.get("content-length", "")
+        if end < 0 or not (stated.isascii() and stated.isdigit()):
+            yield fields, None
+            del held[: end + 4 if end >= 0 else 5]
+            continue
+        stop = end + 4 + int(stated)
+        while len(held) < stop and more():
+            pass
+        yield fields, bytes(held[end + 4 : stop]) if len(held) >= stop else None
+        del held[:stop]
 
 
 def dechunk(body: bytes) -> bytes | None:
@@ -160,10 +202,11 @@ _RECORDS = "record_id string, record_type string, uri string, page_id long, refe
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Read archives (*.gz or plain) back: one row per record, its segments reassembled.
+    """Read archives (*.gz or *.warc) back: one row per record, its segments reassembled.
 
-    ``complete`` is false and ``payload`` null where a segment is missing, the total length differs or the framing is broken. A revisit has no payload; its
-    ``payload_bytes`` and ``payload_digest`` are those its header states. Digests of responses are computed anew. Only segmented records are shuffled.
+    ``complete`` is false and ``payload`` null where a segment is missing, the total length differs, the framing is broken, or the archive is cut off or damaged there; fields that the
+    header lacks are null. A revisit has no payload; its
+    ``payload_bytes`` and ``payload_digest`` are those its header states. Digests of responses are computed anew. Only segmented records are shuffled. An archive is unpacked record by record.
     """
     number = lambda x: int(x) if x and x.lstrip("-").isdigit() else None
 
@@ -171,12 +214,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column("content"):
                 rows, held = [], 0
-                for f, block in parse(content.as_py()):
+                for f, block in parse(inflated(content.as_py())):
                     if f.get("warc-type") not in ("response", "revisit", "resource", "continuation"):
                         continue
                     segment = number(f.get("warc-segment-number"))
                     rows.append((f.get("warc-record-id"), f.get("warc-segment-origin-id", f.get("warc-record-id")), segment, number(f.get("warc-segment-total-length")), f["warc-type"], f.get("warc-target-uri"), number(f.get("page-id")), number(f.get("refers-to-page-id")), f.get("warc-payload-digest", "").removeprefix("sha1:"), block))
-                    held += len(block)
+                    held += len(block or b"")
                     if held > 4 << 20:
                         yield batch(rows, segment_types)
                         rows, held = [], 0
@@ -187,9 +230,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                parts = r["parts"]
-                whole = [p["segment"] for p in parts] == list(range(1, len(parts) + 1)) or len(parts) == 1 and parts[0]["segment"] is None
-                block = b"".join(p["block"] for p in parts)
+                parts = [p for i, p in enumerate(r["parts"]) if p["segment"] is None or p != r["parts"][i - 1] or i == 0]  # a segment may be there twice
+                whole = all(p["block"] is not None for p in parts)
+                whole = whole and ([p["segment"] for p in parts] == list(range(1, len(parts) + 1)) or len(parts) == 1 and parts[0]["segment"] is None)
+                block = b"".join(p["block"] or b"" for p in parts)
                 whole = whole and (parts[0]["segment"] is None or r["total"] == len(block))
                 payload, stated = payload_of(block) if whole else (None, None)
                 revisit = r["record_type"] == "revisit"
@@ -215,13 +259,34 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive(pages: DataFrame, path: str, min_bytes: int = 0, segment_chars: int = SEGMENT_CHARS, chunk_chars: int = CHUNK_CHARS) -> None:
-    """Write one record per row of ``pages`` (page_id, url, html) to ``path``; payloads travel only for responses."""
+    """Write one record per row of ``pages`` (page_id, url, html; other columns are ignored) to ``path``.
+
+    A null html is an empty payload. Pages find out from a narrow table of the payloads that occur again whether they are responses; where that table
+    is small enough to be broadcast, payloads go from the scan into the archive without a shuffle. Revisits never carry theirs.
+    """
     held = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     records = materialize(classify(held, min_bytes), "records")
-    # A payload is fetched once for each response; rows alike in all columns meet on the map side already.
-    bodies = held.withColumn("payload_digest", sha1_base32(F.col("payload"))).select(row_key().alias("_row"), "payload").groupBy("_row").agg(F.first("payload").alias("payload"))
-    responses = records.where("record_type = 'response'").withColumn("_row", row_key()).join(bodies, "_row").drop("_row")
-    write(responses.unionByName(records.where("record_type = 'revisit'").withColumn("payload", F.lit(""))), path, segment_chars, chunk_chars)
+    key = ["payload_digest", "payload_bytes"]
+    # Pages that lose against another one of their payload, by the place of the winner; and winners that are several rows alike.
+    winners = records.where("record_type = 'revisit' AND copy = 0").select(*key).distinct().join(records.where(F.col("record_type") == "response").withColumn("_first", place()), key).select(*key, "_first")
+    winners = materialize(winners.distinct(), "winners")
+    alike = records.where("record_type = 'response' AND alike > 1")
+    told = held.withColumns({"payload_digest": sha1_base32(F.col("payload")), "payload_bytes": F.octet_length("payload").cast("long")})
+    known = told.join(maybe_broadcast(winners), key, "left").where(F.col("_first").isNull() | (F.col("_first") == place())).drop("_first")
+    none = F.lit(None).cast("long")
+    if several := alike.count():
+        # One of the rows alike stands for all; a small payload of which all are responses is written once for each copy.
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("page_id", "url", *key)]
+        match = same[0] & same[1] & (F.col("payload_digest") == F.col("_payload_digest")) & (F.col("payload_bytes") == F.col("_payload_bytes"))
+        copies = maybe_broadcast(alike.select("copy", *(F.col(c).alias(f"_{c}") for c in ("page_id", "url", *key))), several)
+        once = known.join(copies.select("_page_id", "_url", "_payload_digest", "_payload_bytes").distinct(), match, "left_semi").dropDuplicates(["page_id", "url", *key])
+        single = known.join(copies, match, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+        known = single.unionByName(once.join(copies, match).select("page_id", "url", "payload", *key, "copy"))
+    else:
+        known = known.withColumn("copy", F.lit(0).cast("long"))
+    responses = known.withColumns({"record_type": F.lit("response"), "refers_to": none})
+    revisits = records.where("record_type = 'revisit'").drop("alike").withColumn("payload", F.lit(""))
+    write(responses.unionByName(revisits), path, segment_chars, chunk_chars)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
