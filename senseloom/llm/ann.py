@@ -1,14 +1,13 @@
 """Approximate nearest neighbours by inner product: an inverted file with product-quantised residuals and exact reranking.
 
-Coarse centroids and residual codebooks are fitted on a bounded sample; every row is then indexed (list, code). Lists are cut into chunks and
-dealt to groups of bounded size, so a hot list is many tasks. A query is sent once to each group that holds some of its nearest lists;
-there rows of these lists are scored by asymmetric distance tables (one look-up per subspace), and the best are reranked at once with
-their original vectors in double precision, so only the nearest of each group travel on.
+Coarse centroids and residual codebooks are fitted on a bounded sample, and so is the number of lists that a query visits: it is measured there, as what holds the
+wanted share of the true neighbours of some sample rows. Every row is then indexed (list, code). Lists whose centroids lie together form groups of bounded size; a very
+long list is cut into chunks, so it is many tasks. A query is sent once to each group that holds some of its nearest lists; there the rows of these lists, and no others, are scored
+by asymmetric distance tables (one look-up per subspace), and the best are reranked at once with their original vectors in double precision, so only the nearest of each group travel on.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,13 +20,15 @@ from senseloom.llm.common import materialize
 
 SEED = 7
 SAMPLE_ROWS = 20_000
-MOST_LISTS = 1_024
-#: Rows of a list in one chunk, rows and queries that meet in one task, and the fewest groups.
-CHUNK_ROWS = 16_384
+#: Lists grow with the square root of the table, up to so many.
+LISTS_PER_ROOT = 4
+MOST_LISTS = 4_096
+#: Rows of a group (a list of more is cut), queries that meet them in one task, and into how many groups a small table is cut.
 TILE_ROWS = 131_072
-LEAST_GROUPS = 12
-#: Share of the lists that a query visits. Vectors without clusters need over half of the lists for a recall of 0.9; clustered ones far less.
-PROBES = 0.6
+GROUPS = 12
+#: Share of true neighbours that the visited lists are to hold, and the rows of the sample that measure it.
+HELD = 0.95
+MEASURED = 256
 SHORTLIST = 200
 SUBSPACES = 16
 CODES = 256
@@ -72,7 +73,7 @@ class Index:
     def fit(cls, sample: np.ndarray, rows: int, subspaces: int = SUBSPACES, seed: int = SEED) -> Index:
         """Centroids and codebooks from a sample of a table of ``rows`` rows."""
         rng = np.random.default_rng(seed)
-        lists = kmeans(sample, int(min(MOST_LISTS, max(1, rows**0.5))), 8, rng)
+        lists = kmeans(sample, int(min(MOST_LISTS, max(1, LISTS_PER_ROOT * rows**0.5), max(1, len(sample) // 4))), 8, rng)
         home = nearest(sample, lists)
         rest = sample - lists[home]
         square = (rest**2).sum(1)
@@ -87,12 +88,25 @@ class Index:
         rest = (x - self.lists[home]) / self.scale[home][:, None]
         return home, np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(self.bounds[:-1], self.bounds[1:], self.codebooks, strict=True)], 1).astype(np.uint8)
 
-    def scores(self, q: np.ndarray, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric inner products of queries with coded rows."""
-        out = np.zeros((len(q), len(home)), np.float32)
-        for j, (a, b) in enumerate(zip(self.bounds[:-1], self.bounds[1:], strict=True)):
-            out += (q[:, a:b] @ self.codebooks[j].T)[:, codes[:, j]]
-        return out * self.scale[home] + (q @ self.lists.T)[:, home]
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """Of each query the inner products with all codes of all subspaces, in a row."""
+        return np.concatenate([q[:, a:b] @ np.pad(book, ((0, CODES - len(book)), (0, 0))).T for a, b, book in zip(self.bounds[:-1], self.bounds[1:], self.codebooks, strict=True)], 1)
+
+    def probes(self, sample: np.ndarray, k: int, held: float = HELD, measured: int = MEASURED) -> int:
+        """How many of its nearest lists hold ``held`` of the ``k`` true neighbours of a row, measured on rows of the sample.
+
+        A larger table's neighbours are nearer than a sample's, so they are held sooner.
+        """
+        q = sample[:measured]
+        near = q @ sample.T
+        near[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return len(self.lists)
+        true = np.argpartition(-near, k - 1, 1)[:, :k]
+        rank = np.argsort(np.argsort(-(q @ self.lists.T), 1, kind="stable"), 1)
+        need = np.sort(np.take_along_axis(rank, nearest(sample, self.lists)[true], 1).ravel())
+        return int(need[int(np.ceil(held * len(need))) - 1]) + 1
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float32) -> np.ndarray:
@@ -109,31 +123,48 @@ def best(score: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, equal[: n - len(above)]])
 
 
-def deal(sizes: np.ndarray, chunk_rows: int, groups: int) -> list[list[int]]:
-    """Give each chunk of each list a group, the largest first to the emptiest group."""
-    pieces = sorted(((-(-n // c), i, j) for i, n in enumerate(sizes) for c in [max(1, -(-n // chunk_rows))] for j in range(c)), reverse=True)
-    held, out = [(0, g) for g in range(groups)], [[0] * max(1, -(-n // chunk_rows)) for n in sizes]
-    for n, i, j in pieces:
-        total, g = heapq.heappop(held)
-        out[i][j] = g
-        heapq.heappush(held, (total + n, g))
+def deal(lists: np.ndarray, sizes: np.ndarray, most: int) -> list[list[int]]:
+    """Give each list a group of about ``most`` rows, near lists the same one; a list of more rows gets several groups, each for a part of its rows.
+
+    Lists are halved by rows along the direction in which their centroids spread most, until a part is small enough.
+    """
+    out: list[list[int]] = [[] for _ in sizes]
+    groups = 0
+    todo = [np.arange(len(sizes))]
+    while todo:
+        part = todo.pop()
+        rows = int(sizes[part].sum())
+        if rows > most and len(part) > 1:
+            x = lists[part] - lists[part].mean(0)
+            order = part[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+            half = int(np.clip(np.searchsorted(np.cumsum(sizes[order]), rows / 2) + 1, 1, len(part) - 1))
+            todo += [order[half:], order[:half]]
+            continue
+        n = max(1, -(-rows // most))
+        for i in part:
+            out[i] = list(range(groups, groups + n))
+        groups += n
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: float = PROBES, shortlist: int = SHORTLIST, sample_rows: int = SAMPLE_ROWS, tile_rows: int = TILE_ROWS, seed: int = SEED) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, held: float = HELD, shortlist: int = SHORTLIST, sample_rows: int = SAMPLE_ROWS, tile_rows: int = TILE_ROWS, seed: int = SEED) -> DataFrame:
     """The ``k`` nearest of each query row among all other rows: query_id, rank (from 1), vec_id, score (inner product in double precision).
 
     ``vectors`` has vec_id and embedding, ``is_query`` selects queries by vec_id. See :func:`usable` for the rows that take part; an empty table gives no rows. Ties go
-    to the smaller vec_id, in the shortlists too, so copies of one vector are taken in order of their ids. A query visits its nearest lists: the
-    share ``probes`` of them, and more until they hold 10 * k rows. ``shortlist`` rows are reranked in each group.
+    to the smaller vec_id, in the shortlists too, so copies of one vector are taken in order of their ids. Columns other than those two are ignored. A query visits its nearest lists: as many
+    as hold the share ``held`` of true neighbours in the sample (:meth:`Index.probes`), and more until they hold 10 * k rows. ``shortlist`` rows are reranked in each group.
+
+    A group's vectors are copied once for each ``tile_rows`` queries; a task then scores up to that many rows for that many queries, so the copies are
+    small beside the work.
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors), "vectors")
     n, asked = rows.count(), rows.where(is_query).count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()
-    index = Index.fit(matrix(sample.column("v")), n, seed=seed)
+    sample = matrix(rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("v").toArrow().column("v"))
+    index = Index.fit(sample, n, seed=seed)
+    probes = index.probes(sample, k, held)
     sent = spark.sparkContext.broadcast(index)
     vector = rows.schema["v"].dataType.simpleString()
     kind = np.float32 if vector == "array<float>" else np.float64
@@ -147,7 +178,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: float = PR
     coded = materialize(rows.mapInArrow(encode, f"vec_id long, v {vector}, list int, code binary"), "codes")
     counted = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list
     sizes = np.array([counted.get(i, 0) for i in range(len(index.lists))])
-    group_of = deal(sizes, CHUNK_ROWS, max(LEAST_GROUPS, -(-n // tile_rows)))
+    group_of = deal(index.lists, sizes, max(1, min(tile_rows, -(-n // GROUPS))))
     parts = max(1, -(-asked // tile_rows))
     plan = spark.sparkContext.broadcast((sizes, group_of))
 
@@ -162,51 +193,51 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: float = PR
         holds = np.zeros((1 + max(max(x) for x in groups), len(size)), bool)
         for i, x in enumerate(groups):
             holds[x, i] = size[i] > 0
+        used = np.flatnonzero(holds.any(1))
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 b = whole.slice(a, 512)
                 order = np.argsort(-(matrix(b.column("v")) @ sent.value.lists.T), 1, kind="stable")
-                held = np.cumsum(size[order], 1) - size[order]
+                before = np.cumsum(size[order], 1) - size[order]
                 wanted = np.zeros(order.shape, bool)
-                np.put_along_axis(wanted, order, (np.arange(order.shape[1]) < np.ceil(probes * order.shape[1])) | (held < 10 * k), 1)
-                for g, has in enumerate(holds):
-                    here = wanted & has
+                np.put_along_axis(wanted, order, (np.arange(order.shape[1]) < probes) | (before < 10 * k), 1)
+                for g in used:
+                    here = wanted & holds[g]
                     who = np.flatnonzero(here.any(1))
+                    if not len(who):
+                        continue
                     lists = [np.flatnonzero(x).astype(np.int16) for x in here[who]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), g, np.int32)), b.column("vec_id").take(pa.array(who)), b.column("v").take(pa.array(who)), pa.array(lists, pa.list_(pa.int16()))], names=["group", "query_id", "q", "lists"])
 
     part = F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(parts)).cast("int")
     visits = rows.where(is_query).select("vec_id", "v").mapInArrow(visit, f"group int, query_id long, q {vector}, lists array<smallint>").withColumn("part", part)
-    held = coded.withColumn("h", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))).mapInArrow(place, f"group int, vec_id long, v {vector}, list int, code binary")
-    held = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    stored = coded.withColumn("h", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))).mapInArrow(place, f"group int, vec_id long, v {vector}, list int, code binary")
+    stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
-    def scan(asked: pa.Table, held: pa.Table) -> pa.Table:
+    def scan(asked: pa.Table, stored: pa.Table) -> pa.Table:
         found = []
-        if held.num_rows and asked.num_rows:
-            held = held.sort_by("vec_id")
-            ids, home, v = held.column("vec_id").to_numpy(), held.column("list").to_numpy(), matrix(held.column("v"), kind)
-            codes = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-            step = max(1, (1 << 21) // len(ids))
-            for a in range(0, asked.num_rows, step):
-                some = asked.slice(a, step)
-                q, lists = matrix(some.column("q")), some.column("lists").to_pylist()
-                near = sent.value.scores(q, home, codes)
-                wanted = np.zeros((len(q), len(sent.value.lists)), bool)
-                for w, x in zip(wanted, lists, strict=True):
-                    w[x] = True
-                near[~wanted[:, home]] = -np.inf
-                for who, score, exact in zip(some.column("query_id").to_pylist(), near, matrix(some.column("q"), np.float64), strict=True):
-                    at = np.searchsorted(ids, who)
-                    if at < len(ids) and ids[at] == who:
-                        score[at] = -np.inf
+        if stored.num_rows and asked.num_rows:
+            stored = stored.sort_by([("list", "ascending"), ("vec_id", "ascending")])
+            ids, home, v = stored.column("vec_id").to_numpy(), stored.column("list").to_numpy(), matrix(stored.column("v"), kind)
+            codes = np.frombuffer(b"".join(stored.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
+            look = codes + np.arange(codes.shape[1], dtype=np.int32) * CODES
+            starts = np.searchsorted(home, np.arange(len(sent.value.lists) + 1))
+            for a in range(0, asked.num_rows, 256):
+                some = asked.slice(a, 256)
+                q, exact, who = matrix(some.column("q")), matrix(some.column("q"), np.float64), some.column("query_id").to_pylist()
+                tables, centres = sent.value.tables(q), q @ sent.value.lists.T
+                for i, lists in enumerate(some.column("lists").to_pylist()):
+                    rows = np.concatenate([np.arange(starts[j], starts[j + 1]) for j in lists])
+                    score = tables[i][look[rows]].sum(1) * sent.value.scale[home[rows]] + centres[i][home[rows]]
+                    score[ids[rows] == who[i]] = -np.inf
                     top = best(score, shortlist)
-                    top = np.sort(top[score[top] > -np.inf])
-                    inner = (v[top] * exact).sum(1)
-                    top, inner = (x[np.lexsort((ids[top], -inner))[:k]] for x in (top, inner))
-                    found.append((np.full(len(top), who), ids[top], inner))
+                    top = rows[top[score[top] > -np.inf]]
+                    inner = (v[top] * exact[i]).sum(1)
+                    order = np.lexsort((ids[top], -inner))[:k]
+                    found.append((np.full(len(order), who[i]), ids[top][order], inner[order]))
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(x) for x in columns], names=["query_id", "vec_id", "score"])
 
-    scanned = visits.groupBy("group", "part").cogroup(held.groupBy("group", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    scanned = visits.groupBy("group", "part").cogroup(stored.groupBy("group", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scanned.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
