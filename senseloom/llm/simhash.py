@@ -28,6 +28,19 @@ HOT_ROWS = 1_000_000
 FANOUT = 8
 
 
+def bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit numbers in each column of ``h`` have each bit: (columns, 64), least bit first. Eight bits are added at a time, in bytes."""
+    ones = np.zeros((h.shape[1], 64), np.int64)
+    mask = np.uint64(0x0101010101010101)
+    for a in range(0, len(h), 255 * 1024):
+        part = h[a : a + 255 * 1024]
+        at = np.arange(0, len(part), 255)  # a byte holds 255
+        for s in range(8):
+            sums = np.add.reduceat(part >> np.uint64(s) & mask, at, axis=0).astype("<u8")
+            ones[:, s::8] += np.ascontiguousarray(sums).view(np.uint8).reshape(len(at), -1, 8).sum(0, dtype=np.int64)
+    return ones
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """SimHash of a text's word shingles, repeats included: bit j is 1 if it is set in over half of the shingles' XXH64."""
     from xxhash import xxh64_intdigest
@@ -42,11 +55,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.r_[0, ends[:-1] + 1]
         hashes = [xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    ones = np.zeros(64, np.int64)
-    h = np.array(hashes, ">u8")
-    for a in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    set_bits = 2 * bit_counts(np.array(hashes, np.uint64)[:, None])[0] > len(hashes)
+    return int.from_bytes(np.packbits(set_bits, bitorder="little").tobytes(), "little")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -60,20 +70,25 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(rate, "doc_id long, text_hash long, fp long")
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """Place of each 64-bit code in the reflected Gray code."""
-    x = x.astype(np.uint64)
+def gray_order(codes: np.ndarray) -> np.ndarray:
+    """Order of codes (rows of 64-bit words, the first one foremost) by their place in the reflected Gray code."""
+    rank = codes.astype(np.uint64)
     for s in (1, 2, 4, 8, 16, 32):
-        x = x ^ (x >> np.uint64(s))
-    return x
+        rank = rank ^ (rank >> np.uint64(s))
+    for w in range(1, rank.shape[1]):
+        rank[:, w] ^= np.uint64(0) - (rank[:, w - 1] & np.uint64(1))  # an odd place so far turns the rest around
+    return np.lexsort(rank.T[::-1])
 
 
 class GrayTree:
-    """Hierarchy of shared bit patterns over groups given in Gray order: ``mask`` tells which bits a group shares, ``pattern`` their values."""
+    """Hierarchy of shared bit patterns over codes given in Gray order: ``mask`` tells which bits a group shares, ``pattern`` their values.
+
+    Codes are rows of 64-bit words; the first ``fixed`` words must agree.
+    """
 
-    def __init__(self, mask: np.ndarray, pattern: np.ndarray, fanout: int = FANOUT):
-        self.fanout = fanout
-        levels = [(mask.astype(np.uint64), (pattern & mask).astype(np.uint64))]
+    def __init__(self, codes: np.ndarray, fixed: int = 0, fanout: int = FANOUT):
+        self.fanout, self.fixed = fanout, fixed
+        levels = [(np.full(codes.shape, ~np.uint64(0)), codes.astype(np.uint64))]
         while len(levels[-1][0]) > fanout:
             m, p = levels[-1]
             at = np.arange(0, len(m), fanout)
@@ -86,13 +101,13 @@ class GrayTree:
             rest = m & ~up[np.arange(len(m)) // fanout]  # what the parent does not fix already
             self.levels.append((rest, p & rest))
 
-    def search(self, queries: np.ndarray, most: int, chunk: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def search(self, queries: np.ndarray, most: int, chunk: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query, leaf) whose accumulated differences are at most ``most``, in chunks of queries."""
         top = len(self.levels[0][0])
         for a in range(0, len(queries), chunk):
             q = queries[a : a + chunk]
             who, node = np.repeat(np.arange(len(q)), top), np.tile(np.arange(top), len(q))
-            apart = np.zeros(len(who), np.uint8)
+            apart = np.zeros(len(who), np.int32)
             for depth, (mask, pattern) in enumerate(self.levels):
                 if depth:
                     n = len(mask)
@@ -100,9 +115,11 @@ class GrayTree:
                     node = (node[:, None] * self.fanout + np.arange(self.fanout)).ravel()
                     there = node < n
                     who, node, apart = who[there], node[there], apart[there]
-                apart = apart + np.bitwise_count((q[who] ^ pattern[node]) & mask[node])
-                near = apart <= most
-                who, node, apart = who[near], node[near], apart[near]
+                for w in range(q.shape[1]):
+                    differ = (q[who, w] ^ pattern[node, w]) & mask[node, w]
+                    apart = apart + (np.where(differ != 0, most + 1, 0) if w < self.fixed else np.bitwise_count(differ))
+                    near = apart <= most
+                    who, node, apart = who[near], node[near], apart[near]
             yield who + a, node
 
 
@@ -137,10 +154,11 @@ def block_links(block: pd.DataFrame, most: int, top: int) -> pd.DataFrame:
     """Spanning links (u, v) between the fingerprints of a block that are within ``most`` bits; ``top`` is the end of its band."""
     own = np.unique(block["fp"].to_numpy(np.int64).view(np.uint64))
     turn = np.uint64(64 - top)
-    turned = own if not turn else (own << turn) | (own >> np.uint64(64) - turn)
-    own, turned = (x[np.argsort(gray_rank(turned))] for x in (own, turned))
+    turned = (own if not turn else (own << turn) | (own >> np.uint64(64) - turn))[:, None]
+    order = gray_order(turned)
+    own, turned = own[order], turned[order]
     forest = Forest(len(own))
-    for who, leaf in GrayTree(np.full(len(own), ~np.uint64(0)), turned).search(turned, most):
+    for who, leaf in GrayTree(turned).search(turned, most):
         forest.link(who[who > leaf], leaf[who > leaf])
     moved = np.flatnonzero(forest.root != np.arange(len(own)))
     return pd.DataFrame({"u": own[moved].view(np.int64), "v": own[forest.root[moved]].view(np.int64)})
