@@ -78,6 +78,36 @@ def choices(text: Column, k: int = K, w: int = W) -> Column:
     return F.when(F.char_length(text) > 0, let(codes, chosen)).otherwise(F.array().cast("array<long>"))
 
 
+def place_of(choice: Column) -> Column:
+    return LAST - choice.bitwiseAND(LAST)
+
+
+def first_windows(chosen: Column, last: Column, w: int) -> Column:
+    """The choices of the windows that start at ``last`` or before: places only grow from window to window, so these are all up to the choice of that window."""
+    edge = place_of(F.array_min(F.filter(chosen, lambda v: place_of(v).between(last, last + (w - 1)))))
+    return let(edge, lambda e: F.filter(chosen, lambda v: place_of(v) <= e))
+
+
+def edited_choices(chosen: Column, next_chosen: Column, edited: Column, cut: Column, k: int, w: int) -> Column:
+    """The choices of a text whose first ``cut`` characters are one document's and whose others are the first ones of the next.
+
+    Windows that lie in one of the two parts are those of that document, so only the text around the cut is fingerprinted anew. If the first part has no whole window, all of it is.
+    """
+    span = k + w - 1
+    none = F.array().cast("array<long>")
+
+    def joined(last: Column) -> Column:
+        around = F.substring(edited, before + 2, F.least(cut, last + 1) + (span - 2) - before)
+        return F.concat(
+            first_windows(chosen, before, w),
+            F.when(last > before, let(choices(around, k, w), lambda x: F.transform(x, lambda v: v - (before + 1)))).otherwise(none),
+            F.when(last >= cut, F.transform(first_windows(next_chosen, last - cut, w), lambda v: v - cut)).otherwise(none),
+        )
+
+    before = cut - span  # the last start of a window before the cut; of all windows it is ``last``, which is counted once
+    return F.when(before < 0, choices(edited, k, w)).otherwise(F.array_distinct(let(F.char_length(edited) - span, joined)))
+
+
 def hash_set(chosen: Column) -> Column:
     return F.array_distinct(F.transform(chosen, lambda v: F.shiftright(v, 31)))
 
@@ -168,6 +198,7 @@ def compare_edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     both = both.select("doc_id", n.cast("long").alias("n_chars"), "chosen", F.col("next.chosen").alias("next_chosen"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half)).alias("edited"))
-    both = both.withColumn("edited_chosen", choices(F.col("edited"), k, w))
+    cut = (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")
+    both = both.withColumn("edited_chosen", edited_choices(F.col("chosen"), F.col("next_chosen"), F.col("edited"), cut, k, w))
     near = lambda other: let(hash_set(F.col("chosen")), lambda a: let(hash_set(F.col(other)), lambda b: likeness(a, b)))
     return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text(F.col("chosen")).alias("fingerprint"), as_text(F.col("edited_chosen")).alias("edited_fingerprint"), near("edited_chosen").alias("near_edited"), near("next_chosen").alias("near_next"))
