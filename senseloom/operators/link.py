@@ -47,21 +47,23 @@ def closest(signatures: DataFrame, kept: int = KEPT) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= kept)
 
 
-def expand(links: DataFrame, start: DataFrame, least: float = SHOWN, most_rounds: int = 50) -> DataFrame:
+def expand(links: DataFrame, start: DataFrame, least: float = SHOWN, most_rounds: int | None = None) -> DataFrame:
     """All senses reachable from ``start`` (sense) along links with a score above ``least``: (sense, depth), start at depth 0.
 
-    A frontier is joined with the links in each round and what was seen is left out; each round is stored in the shared folder.
+    A frontier is joined with the links in each round and what was seen is left out; each round is stored in the shared folder. Rounds end when nothing new is
+    reached; a ``most_rounds`` that is too small for that raises an error.
     """
     near = stored(links.where(F.col("score") > least).select("sense", "neighbour"), "near")
-    seen = [stored(start.select("sense").distinct().withColumn("depth", F.lit(0).cast("long")), "reached")]
-    for depth in range(1, most_rounds + 1):
-        so_far = reduce(DataFrame.union, seen)
-        new = seen[-1].join(near, "sense").select(F.col("neighbour").alias("sense")).distinct().join(so_far, "sense", "left_anti")
-        new = stored(new.withColumn("depth", F.lit(depth).cast("long")), "reached")
-        if new.isEmpty():
-            return so_far
-        seen.append(new)
-    return reduce(DataFrame.union, seen)
+    seen = new = stored(start.select("sense").distinct().withColumn("depth", F.lit(0).cast("long")), "reached")
+    depth = 0
+    while not new.isEmpty():
+        depth += 1
+        if most_rounds is not None and depth > most_rounds:
+            raise RuntimeError(f"senses are still being reached after {most_rounds} rounds")
+        found = new.join(near, "sense").select(F.col("neighbour").alias("sense")).distinct().join(seen, "sense", "left_anti")
+        new = stored(found.withColumn("depth", F.lit(depth).cast("long")), "reached")
+        seen = stored(seen.union(new), "seen")
+    return seen
 
 
 def infer_by_list(inventory: DataFrame, words: list[str], size: int = SIGNATURE) -> DataFrame:

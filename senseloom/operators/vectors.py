@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from senseloom.functions.arrays import cosine
+from senseloom.functions.storage import stored
 
 MAX_CLUSTERS = 7
 MIN_SIZE = 2
@@ -178,11 +179,16 @@ def sense_keys(keys: DataFrame) -> DataFrame:
 
 
 def word2vec(sentences: DataFrame, size: int = 100, window: int = 5, min_count: int = 5, epochs: int = 10, seed: int = 111) -> DataFrame:
-    """Skip-gram vectors of sense-tagged words: (key, word, sense, vector). ``sentences`` has an array of words."""
+    """Skip-gram vectors of sense-tagged words: (key, word, sense, vector). ``sentences`` has an array of words.
+
+    Sentences are learnt from in as many partitions as they come in; the partitions' vectors are averaged after each epoch.
+    """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, inputCol="words", outputCol="v").fit(sentences.select("words"))
+    words = stored(sentences.select("words"), "sentences")
+    parts = max(1, words.rdd.getNumPartitions())
+    model = Word2Vec(numPartitions=parts, vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, inputCol="words", outputCol="v").fit(words)
     rows = model.getVectors().select(F.col("word").alias("key"), vector_to_array("vector").alias("vector"))
     return rows.select("key", F.split_part("key", F.lit("_"), F.lit(1)).alias("word"), F.expr("try_cast(nullif(split_part(key, '_', 2), '') AS BIGINT)").alias("sense"), "vector")
 

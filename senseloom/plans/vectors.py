@@ -61,14 +61,14 @@ def sense_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def outlier_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test groups: a topic's first words are inliers, and each of the next topic's first words is the outlier of a case."""
-    first = senses(spark, sf_dir).where("sense = 0").withColumn("nth", F.expr("row_number() OVER (PARTITION BY topic ORDER BY n)")).where(F.col("nth") <= GROUP).select("topic", "word", "nth")
-    n = first.agg((F.max("topic") + 1).alias("topics"))
-    case = lambda topic, nth: F.concat(topic.cast("string"), F.lit("-"), nth.cast("string"))
-    outliers = first.crossJoin(F.broadcast(n)).select(F.pmod(F.col("topic") - 1, F.col("topics")).alias("topic"), "word", "nth")
-    cases = outliers.select("topic", case(F.col("topic"), F.col("nth")).alias("case"))
-    inliers = cases.join(first.select("topic", "word"), "topic").select("case", "word", F.lit(False).alias("is_outlier"))
-    return inliers.unionByName(outliers.select(case(F.col("topic"), F.col("nth")).alias("case"), "word", F.lit(True).alias("is_outlier")))
+    """Test groups: a topic's words are dealt into groups of eight inliers, and each word of the next topic's group of that number is the outlier of a case. All words take part; a group without a counterpart makes no case."""
+    nth = F.expr("row_number() OVER (PARTITION BY topic ORDER BY n) - 1")
+    words = senses(spark, sf_dir).where("sense = 0").withColumn("_nth", nth).select("topic", "word", F.floor(F.col("_nth") / GROUP).alias("part"), (F.col("_nth") % GROUP + 1).alias("nth"))
+    n = words.agg((F.max("topic") + 1).alias("topics"))
+    outliers = words.crossJoin(F.broadcast(n)).select(F.pmod(F.col("topic") - 1, F.col("topics")).alias("topic"), "part", "word", "nth")
+    outliers = outliers.withColumn("case", F.concat_ws("-", *(F.col(c).cast("string") for c in ("topic", "part", "nth"))))
+    inliers = outliers.select("topic", "part", "case").join(words.select("topic", "part", "word"), ["topic", "part"]).select("case", "word", F.lit(False).alias("is_outlier"))
+    return inliers.unionByName(outliers.select("case", "word", F.lit(True).alias("is_outlier")))
 
 
 def outliers(spark: SparkSession, sf_dir: str, plain: bool) -> DataFrame:
@@ -129,9 +129,9 @@ means AS (SELECT label, max(n) AS n, list(e ORDER BY i) AS x FROM parts GROUP BY
 SENSES = """
 s AS (SELECT 'v' || (vec_id // 3) AS word, vec_id % 3 AS sense, 'v' || (vec_id // 3) || '_' || (vec_id % 3) AS key, x, label AS topic, vec_id // 3 AS n FROM v)"""
 MEMBERS = """
-first AS (SELECT topic, word, nth FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n) AS nth FROM s WHERE sense = 0) WHERE nth <= 8),
-outl AS (SELECT (topic - 1 + (SELECT max(topic) + 1 FROM first)) % (SELECT max(topic) + 1 FROM first) AS topic, word, nth FROM first),
-member AS (SELECT o.topic || '-' || o.nth AS "case", f.word, false AS is_outlier FROM outl o JOIN first f ON o.topic = f.topic UNION ALL SELECT topic || '-' || nth, word, true FROM outl)"""
+words8 AS (SELECT topic, word, r // 8 AS part, r % 8 + 1 AS nth FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n) - 1 AS r FROM s WHERE sense = 0)),
+outl AS (SELECT (topic - 1 + (SELECT max(topic) + 1 FROM words8)) % (SELECT max(topic) + 1 FROM words8) AS topic, part, word, nth FROM words8),
+member AS (SELECT concat_ws('-', o.topic, o.part, o.nth) AS "case", f.word, false AS is_outlier FROM outl o JOIN words8 f ON o.topic = f.topic AND o.part = f.part UNION ALL SELECT concat_ws('-', topic, part, nth), word, true FROM outl)"""
 PLACE = """
 place AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY score DESC, word DESC) - 1 AS position FROM scored)
 SELECT "case", word, position FROM place WHERE is_outlier"""
@@ -178,7 +178,7 @@ SELECT round(sum(n / total * ln(n * total / (gn * pn))) / greatest(sum(-n / tota
 ROWS_ONLY = {
     "hac_senses": lambda s, d: vectors.hac_senses(corpus.Corpus(s, d).stage),
     "merge_close_senses": lambda s, d: vectors.merge_close_senses(senses(s, d), 0.3),
-    "word2vec_senses": lambda s, d: vectors.word2vec(tagged(s, d), size=32, epochs=1).select("key", "word", "sense"),
+    "word2vec_senses": lambda s, d: vectors.word2vec(tagged(s, d)),
 }
 
 QUERIES = {k: v[0] for k, v in CATALOGUE.items()} | ROWS_ONLY
