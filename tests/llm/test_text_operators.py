@@ -74,33 +74,57 @@ def test_mixing_comes_near_its_targets(spark):
     assert all(abs(r["taken"] / r["target"] - 1) < 0.05 for r in found)
 
 
-def brute_choices(text, k=winnowing.K, w=winnowing.W):
-    """Windows of k-grams by definition, on the operator's own hashes (grams as strings tell equal hashes)."""
-    units = re.findall("[^\x20\x09-\x0d]{1,4}", text or "")
-    if not units:
-        return []
-    return [tuple(units[i : i + k]) for i in range(max(1, len(units) - k + 1))]
+def brute_fingerprint(text, k=winnowing.K, w=winnowing.W):
+    """Winnowing by definition: hashes of all grams from their code points, the rightmost least of each window."""
+
+    def hashed(codes, start=0):
+        for c in codes:
+            start = (start * winnowing.BASE + c) % winnowing.PRIME
+        return start
+
+    codes = list(map(ord, text or ""))
+    if not codes:
+        return ""
+    grams = [hashed(codes[i : i + k]) for i in range(len(codes) - k + 1)] or [hashed(codes, 1)]
+    chosen = {}
+    for a in range(max(1, len(grams) - w + 1)):
+        least = min(grams[a : a + w])
+        at = max(i for i in range(a, min(a + w, len(grams))) if grams[i] == least)
+        chosen[at] = least
+    return ",".join(f"{h:x}@{at}" for at, h in chosen.items())
 
 
 def test_winnowing_chooses_the_rightmost_least(spark):
-    texts = [None, "", "  ", "ab", "a b c", LONG, "x " * 300, "abcdefghijklmnop" * 40, "𝔘𝔫𝔦 ß é " * 20, "the cat sat on the mat while the cat sat on the mat"]
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    units = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(winnowing.UNIT), 0)
-    k, w = winnowing.K, winnowing.W
-    for r in winnowing.fingerprints(frame).withColumn("units", units).collect():
-        grams = brute_choices(r["text"])
-        assert len(grams) == max(0, max(1, len(r["units"]) - k + 1) if r["units"] else 0)
-        parts = [x.split("@") for x in r["fingerprint"].split(",")] if r["fingerprint"] else []
-        chosen = {int(p): h for h, p in parts}
-        if not grams:
-            assert not chosen
-            continue
-        if len(r["units"]) >= k:
-            hashed = spark.createDataFrame([(i, *g) for i, g in enumerate(grams)], "i int, a string, b string, c string, d string").select("i", F.shiftrightunsigned(F.xxhash64("a", "b", "c", "d"), 32).alias("h"))
-            h = [x["h"] for x in hashed.orderBy("i").collect()]
-            expected = {max(j for j in range(i, min(i + w, len(h))) if h[j] == min(h[i : i + w])) for i in range(max(1, len(h) - w + 1))}
-            assert set(chosen) == expected
-            assert all(int(chosen[j], 16) == h[j] for j in expected)
+    texts = [None, "", "  ", "ab", "a b c", LONG[:5000], "x " * 300, "abcdefghijklmnop" * 40, "𝔘𝔫𝔦 ß é " * 20, "the cat sat on the mat while the cat sat on the mat", *("y" * n + "z" for n in (14, 15, 45, 46, 47))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in winnowing.fingerprints(frame).collect():
+        assert r["fingerprint"] == brute_fingerprint(r["text"])
+    for k, w in ((1, 1), (5, 4), (7, 10)):
+        for r in frame.select("text", winnowing.as_text(winnowing.choices(F.col("text"), k, w)).alias("f")).collect():
+            assert r["f"] == brute_fingerprint(r["text"], k, w)
+
+
+def test_shared_passages_share_a_hash_wherever_they_stand(spark):
+    rng = np.random.default_rng(6)
+    made = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x9FA5, n)))
+    span = winnowing.K + winnowing.W - 1
+    pairs = []
+    for shift in range(8):
+        shared = made(span)
+        pairs.append((made(50 + shift) + shared + made(40), made(71) + shared + made(33 + shift)))
+    texts = [x for pair in pairs for x in pair]
+    found = {r["text"]: {x.split("@")[0] for x in r["fingerprint"].split(",")} for r in winnowing.fingerprints(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert all(found[a] & found[b] for a, b in pairs)
+
+
+def test_edited_fingerprints_by_definition(spark):
+    rng = np.random.default_rng(7)
+    texts = ["".join(rng.choice(list("abé中𝔘 \n"), n)) for n in (0, 1, 10, 40, 47, 48, 60, 93, 94, 95, 96, 100, 150, 300, 700, 2, 500, 30, 400)]
+    found = {r["doc_id"]: r for r in winnowing.compare_edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        half = len(text) // 2
+        assert found[i]["fingerprint"] == brute_fingerprint(text)
+        assert found[i]["edited_fingerprint"] == brute_fingerprint(text[: len(text) - half] + texts[(i + 1) % len(texts)][:half])
 
 
 def test_winnowing_compares_edited_and_next(spark):
