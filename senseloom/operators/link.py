@@ -31,20 +31,24 @@ def closest(signatures: DataFrame, kept: int = KEPT) -> DataFrame:
     Only senses that share a token meet, through an inverted self-join whose pairs are counted before they are ranked; a sense with too few of those is filled up
     with the last names of no overlap, as equal scores go by name, descending. Filling needs no pairs either: the same last names serve all.
     """
-    signatures = stored(signatures, "signatures")
-    named = signatures.select(name().alias("sense"), "tokens", F.size("tokens").cast("long").alias("size"))
-    tokens = named.select("sense", "size", F.explode("tokens").alias("token"))
-    other = tokens.select(F.col("sense").alias("neighbour"), F.col("size").alias("other_size"), "token")
-    shared = tokens.join(other, "token").where("sense <> neighbour").groupBy("sense", "size", "neighbour", "other_size").agg(F.count("*").alias("shared"))
-    met = shared.select("sense", "neighbour", "shared", (F.col("size") + F.col("other_size") - F.col("shared")).alias("total"))
-    # The last names in order: enough for any sense, itself and its own neighbours taken out.
-    last = named.orderBy(F.desc("sense")).limit(2 * kept + 1).select(F.col("sense").alias("neighbour"), F.col("size").alias("other_size"))
-    few = named.join(met.groupBy("sense").agg(F.count("*").alias("n")), "sense", "left").where(F.coalesce("n", F.lit(0)) < kept).select("sense", "size")
-    filler = few.crossJoin(F.broadcast(last)).where("sense <> neighbour").join(met.select("sense", "neighbour"), ["sense", "neighbour"], "left_anti")
-    everyone = met.union(filler.select("sense", "neighbour", F.lit(0).cast("long"), F.col("size") + F.col("other_size")))
-    scored = everyone.withColumn("score", F.col("shared") / F.col("total"))
-    order = Window.partitionBy("sense").orderBy(F.desc("score"), F.desc("neighbour"))
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= kept)
+    # Numbers in the order of the names stand for them until the links are chosen: the many pairs are counted and ranked as numbers.
+    by_name = signatures.select(name().alias("sense"), "tokens", F.size("tokens").cast("long").alias("size")).orderBy("sense")
+    named = stored(by_name.withColumn("id", F.monotonically_increasing_id()), "signatures")
+    tokens = named.select("id", F.explode("tokens").alias("token"))
+    shared = tokens.join(tokens.select(F.col("id").alias("other"), "token"), "token").where("id <> other").groupBy("id", "other").agg(F.count("*").alias("shared"))
+    sizes = named.select("id", "size")
+    other_sizes = named.select(F.col("id").alias("other"), F.col("size").alias("other_size"))
+    met = shared.join(sizes, "id").join(other_sizes, "other").select("id", "other", "shared", (F.col("size") + F.col("other_size") - F.col("shared")).alias("total"))
+    order = Window.partitionBy("id").orderBy(F.desc(F.col("shared") / F.col("total")), F.desc("other"))
+    best = stored(met.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= kept).drop("rank"), "met")
+    # Senses that met too few are filled up with the last names in order: enough for any sense, itself and its own neighbours taken out.
+    last = named.orderBy(F.desc("id")).limit(2 * kept + 1).select(F.col("id").alias("other"), F.col("size").alias("other_size"))
+    few = sizes.join(best.groupBy("id").agg(F.count("*").alias("n")), "id", "left").where(F.coalesce("n", F.lit(0)) < kept).select("id", "size")
+    filler = few.crossJoin(F.broadcast(last)).where("id <> other").join(best.select("id", "other"), ["id", "other"], "left_anti")
+    everyone = best.union(filler.select("id", "other", F.lit(0).cast("long"), F.col("size") + F.col("other_size")))
+    ranked = everyone.withColumn("score", F.col("shared") / F.col("total")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= kept)
+    names = named.select("id", "sense")
+    return ranked.join(names, "id").join(names.select(F.col("id").alias("other"), F.col("sense").alias("neighbour")), "other").select("sense", "neighbour", "shared", "total", "score", "rank")
 
 
 def expand(links: DataFrame, start: DataFrame, least: float = SHOWN, most_rounds: int | None = None) -> DataFrame:

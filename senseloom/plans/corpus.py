@@ -44,17 +44,27 @@ class Corpus:
     def index(self) -> DataFrame:
         return index.inverted_index(self.tokens, self.vocab)
 
+    @cached_property
+    def placed(self) -> DataFrame:
+        """The index as a written stage table: fillers, instances and occurrences are all read from it."""
+        return stored(self.index, "index")
+
     @cached_property
     def fillers(self) -> DataFrame:
         return substitutes.context_fillers(self.index)
 
+    @cached_property
+    def ranked(self) -> DataFrame:
+        """The fillers as a written stage table, for instances and for occurrences."""
+        return stored(substitutes.context_fillers(self.placed), "fillers")
+
     @cached_property
     def instances(self) -> DataFrame:
         return index.instances(self.index)
 
     @cached_property
     def found(self) -> DataFrame:
-        return substitutes.substitutes(self.instances, self.fillers)
+        return substitutes.substitutes(index.instances(self.placed), self.ranked)
 
     def cleaned(self, n: int = N_REPS) -> DataFrame:
         return substitutes.clean(self.found, n)
@@ -82,7 +92,7 @@ class Corpus:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        near = substitutes.clean(substitutes.substitutes(self.index, self.fillers), senses.ASSIGN_TOP, drop_query=False)
+        near = substitutes.clean(substitutes.substitutes(self.placed, self.ranked), senses.ASSIGN_TOP, drop_query=False)
         return senses.assign(near, self.inventory)
 
     @cached_property
