@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from senseloom.llm import ann, mixing, packing, quality, secrets, sharding, simhash, toxicity, warc, winnowing
+from senseloom.llm import ann, mixing, packing, quality, rules, secrets, sharding, simhash, spelling, toxicity, veccodes, warc, winnowing
 from senseloom.llm.common import new_path, table
 from senseloom.llm.labelled import fold
 
@@ -68,5 +68,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_winnowing, op4_simhash, op5_packing, op6_warc, op7_neighbours, op8_sharding, op9_secrets, op10_toxicity)}
-ORACLES: dict[str, str] = {"op1_mixing": mixing.PLAN_SQL, "op6_warc": warc.ROUND_TRIP_SQL}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants among the words of all documents, in which one run in 31 has lost a code point."""
+    found = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.variants(found.select(spelling.slip(F.col("doc_id"), F.col("word")).alias("word"))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_veccodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight codes of sixteen entries each for every usable vector."""
+    return veccodes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op13_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of every document and the cascade's verdict on it."""
+    judged = rules.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", *rules.MEASURES, "base_failed", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_quality, op3_winnowing, op4_simhash, op5_packing, op6_warc, op7_neighbours, op8_sharding, op9_secrets, op10_toxicity, op11_spelling, op12_veccodes, op13_rules)}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.PLAN_SQL, "op6_warc": warc.ROUND_TRIP_SQL, "op11_spelling": spelling.VARIANTS_SQL, "op12_veccodes": veccodes.COMPRESS_SQL, "op13_rules": rules.SCORE_SQL}
