@@ -3,7 +3,7 @@
 Strong finds stand alone: assignments, access identifiers and long hex runs. Weak candidates (short or unusual identifiers, short
 assigned values, unlabelled 40-character keys, endpoints) mean nothing by themselves. They are interval-joined with their complementary parts:
 candidates whose spans lie in one scope (a paragraph), by default anywhere in it, else within ``reach`` characters of each other. A weak identifier is reported next to a
-secret, a weak secret next to an identifier, an endpoint only where an identifier and a secret both are near.
+secret, a weak secret next to an identifier, an endpoint only where an identifier and a secret both are near. A span that overlaps a candidate is no complement of it.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -55,14 +54,14 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _near(spans: list[Span], ends: list[int], start: int, end: int, reach: int) -> bool:
-    """Does one of the sorted, scope-bound spans come within ``reach`` of [start, end)? ``ends`` has the furthest end up to each of them."""
-    i = bisect_left(spans, (start, -1, -1))
-    return (i < len(spans) and spans[i][0] <= end + reach) or (i > 0 and ends[i - 1] >= start - reach)
+def _near(starts: list[int], ends: list[int], start: int, end: int, reach: int) -> bool:
+    """Does one of the spans of a scope, given by its sorted starts and its sorted ends, stand within ``reach`` before or after [start, end)? One that overlaps it does not count."""
+    after, before = bisect_left(starts, end), bisect_right(ends, start)
+    return (after < len(starts) and starts[after] <= end + reach) or (before > 0 and ends[before - 1] >= start - reach)
 
 
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
-    """Weak candidates whose complementary parts co-occur with them in a scope, by an interval join over sorted spans."""
+    """Weak candidates whose complementary parts co-occur with them in a scope, by an interval join over sorted starts and ends. No part complements what it overlaps."""
     if not base and not ("://" in text or _ASSIGN_HINT.search(text) or re.search(_WEAK_ID, text)):
         return []  # no part that could stand next to another
     strong = {(k, s): e for s, k, e in base}
@@ -78,13 +77,12 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     parts: dict[tuple[int, str], list[Span]] = {}
     for part, span in [(PART[KINDS[s[1]]], s) for s in base] + weak:
         parts.setdefault((bisect_left(scopes, span[0] + 1), part), []).append(span)
-    for x in parts.values():
-        x.sort()
-    ends = {k: list(accumulate((e for _, _, e in x), max)) for k, x in parts.items()}
+    starts = {k: sorted(s for s, _, _ in x) for k, x in parts.items()}
+    ends = {k: sorted(e for _, _, e in x) for k, x in parts.items()}
     kept = []
     for part, span in weak:
         scope = bisect_left(scopes, span[0] + 1)
-        if all(_near(parts.get((scope, other), []), ends.get((scope, other), []), span[0], span[2], reach) for other in NEEDS[part]):
+        if all(_near(starts.get((scope, other), []), ends.get((scope, other), []), span[0], span[2], reach) for other in NEEDS[part]):
             kept.append(span)
     return sorted(kept)
 
