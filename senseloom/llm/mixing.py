@@ -71,31 +71,35 @@ def cuts(docs: DataFrame, parts: DataFrame, rated: DataFrame) -> DataFrame:
     return rated.join(held, F.col("source").eqNullSafe(F.col("_edge")), "left").withColumn("cut", F.coalesce("_cut", whole)).drop("_edge", "_cut")
 
 
+def _planned(docs: DataFrame, weights: tuple[int, ...], share: float, most: int, seed: int) -> DataFrame:
+    """(row, size, source_size, target, rate, copies): each document as one struct, so that no name of its columns meets one of ours."""
+    drawn = docs.select("source", word_count(F.col("text")).alias("size"), draw(seed, F.col("doc_id"), F.col("text")).alias("draw"))
+    parts = materialize(drawn.groupBy("source", F.substring("draw", 1, DIGITS).alias("part")).agg(F.sum("size").alias("part_size")), "parts")
+    sizes = parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))
+    rated = materialize(targets(sizes, weights, share, most), "rates")
+    found = materialize(cuts(drawn, parts, rated), "cuts").select(F.col("source").alias("of"), "source_size", "target", "rate", "cut")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    held = docs.select(row, F.col("source").alias("source"), word_count(F.col("text")).alias("size"), draw(seed, F.col("doc_id"), F.col("text")).alias("draw"))
+    joined = held.join(maybe_broadcast(found), F.col("source").eqNullSafe(F.col("of")), "left")
+    copies = F.floor("rate").cast("int") + (F.col("draw") <= F.col("cut")).cast("int")
+    return joined.select("row", "size", "source_size", "target", "rate", copies.alias("copies"))
+
+
 def plan_copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
     """Add ``size`` (words), ``source_size``, ``target``, ``rate`` and ``copies`` to every document.
 
     ``docs`` has doc_id, text and source. A null or empty text has size 0; a null id is one like any other; null is a source of its own, the last in order. Rows
     alike in id and text share a draw and get the same number of copies each. An empty table gives an empty one. Columns of the added names are
-    replaced, names that differ in case only included; other columns are kept.
+    replaced, names that differ in case only included; other columns are kept, whatever their names.
     """
     added = ("size", "source_size", "target", "rate", "copies")
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in added)).withColumn("size", word_count(F.col("text")))
-    drawn = docs.select("source", "size", draw(seed, F.col("doc_id"), F.col("text")).alias("draw"))
-    parts = materialize(drawn.groupBy("source", F.substring("draw", 1, DIGITS).alias("part")).agg(F.sum("size").alias("part_size")), "parts")
-    sizes = parts.groupBy("source").agg(F.sum("part_size").alias("source_size"))
-    rated = materialize(targets(sizes, weights, share, most), "rates")
-    found = materialize(cuts(drawn, parts, rated), "cuts").select(F.col("source").alias("_source"), "source_size", "target", "rate", "cut")
-    joined = docs.join(maybe_broadcast(found), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    extra = (draw(seed, F.col("doc_id"), F.col("text")) <= F.col("cut")).cast("int")
-    return joined.withColumn("copies", F.floor("rate").cast("int") + extra).drop("cut")
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in added))
+    return _planned(kept, weights, share, most, seed).select("row.*", *added)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, most: int = MOST_REPEATS, seed: int = SEED) -> DataFrame:
-    """Emit each document as often as :func:`plan_copies` says, with the columns of ``docs``."""
-    columns = docs.columns
-    planned = plan_copies(docs.withColumnsRenamed({c: f"_kept_{c}" for c in columns if c.lower() in ("size", "source_size", "target", "rate", "copies")}), weights, share, most, seed)
-    emitted = planned.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return emitted.select(*(F.col(f"_kept_{c}").alias(c) if f"_kept_{c}" in planned.columns else F.col(c) for c in columns))
+    """Emit each document as often as :func:`plan_copies` says, with the columns of ``docs``, all of them, whatever their names."""
+    return _planned(docs, weights, share, most, seed).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 PLAN_SQL = r"""

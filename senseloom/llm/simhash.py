@@ -215,16 +215,3 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, most: int = BITS_APART)
     Other columns are ignored.
     """
     return _grouped(docs, shingle, most).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, most: int = BITS_APART) -> DataFrame:
-    """Keep one document of each group of near copies: that of the smallest doc_id (null last), of one id's texts that of the smallest hash.
-
-    Documents of different groups stay, even under one id or without one. Of rows alike in id and text one stays, whichever its other
-    columns. All columns are kept. Groups are reduced by partial aggregates, so a hot group costs a row per task.
-    """
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    chosen = _grouped(docs, shingle, most).groupBy("root").agg(F.min(place).alias("first")).select(F.col("first.doc_id").alias("_kept"), F.col("first.text_hash").alias("_kept_hash"))
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = marked.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).drop("_hash")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from senseloom.llm import simhash
+from senseloom.llm import nearcopies, simhash
 from senseloom.llm.components import components
 
 
@@ -61,14 +61,14 @@ def test_near_copies_with_odd_rows(spark):
     assert len(found) == len(rows)
     assert {(r["doc_id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (3, 1), (7, 5), (5, 5), (9, 5), (None, None), (11, 11)}
     assert all(int(r["fingerprint"], 16) == 0 for r in found if r["doc_id"] in (1, 2, 3))
-    kept = simhash.keep_first(docs)
+    kept = nearcopies.keep_first(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 5, 11]
 
 
 def test_documents_without_an_id_stay(spark):
     rows = [(None, "the first of them says this", 1), (None, "and another one says something else", 2), (None, "and another one says something else", 2), (4, "an id that comes twice", 3), (4, "with quite different words in it", 4), (None, None, 5), (8, " ", 6)]
-    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, extra int")).collect()
+    kept = nearcopies.keep_first(spark.createDataFrame(rows, "doc_id long, text string, extra int")).collect()
     assert sorted(r["extra"] for r in kept) == [1, 2, 3, 4, 6]
 
 

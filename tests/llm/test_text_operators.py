@@ -30,7 +30,7 @@ def nothing(spark):
 
 def clash(docs):
     """Extra columns with the names that operators add."""
-    for name in ("size", "rate", "copies", "Target", "shard", "slot", "spans", "secrets", "score", "predicted", "length", "bucket", "fingerprint"):
+    for name in ("_source", "cut", "row", "of", "draw", "part", "_copy", "_kept_rate", "_row", "size", "rate", "copies", "Target", "shard", "slot", "spans", "secrets", "score", "predicted", "length", "bucket", "fingerprint"):
         docs = docs.withColumn(name, F.lit("mine"))
     return docs
 
@@ -270,7 +270,7 @@ def test_secrets(spark, docs, nothing):
 
 def test_interval_join_equals_all_pairs():
     rng = np.random.default_rng(3)
-    parts = ["AKIAABCDEFGH1234", "secret = abcdefghijkl", "https://x.example", "word " * 30, "\n\n"]
+    parts = ["AKIAABCDEFGH1234", "secret = abcdefghijkl", "https://x.example", "word " * 30, "\n\n", "token=ASIAABCDEFGHIJKL", "https://x.example/?secret=AKIAABCDEFGH1234&y=0123456789abcdef0123"]
     needs = {"weak_id": ("secret",), "weak_key": ("id",), "weak_assign": ("id",), "endpoint": ("id", "secret")}
     for _ in range(60):
         text = " ".join(rng.choice(parts, 12))
@@ -280,6 +280,6 @@ def test_interval_join_equals_all_pairs():
         everything = [(secrets.PART[secrets.KINDS[k]], s, e) for s, k, e in base]
         weak = [(n, p, m.start(), m.end()) for n, (p, pattern) in secrets.WEAK.items() for m in pattern.finditer(text) if not any(m.start() == s for s, _, _ in base)]
         everything += [(p, s, e) for _, p, s, e in weak]
-        near = lambda other, s, e: any(p == other and scope(a) == scope(s) and a <= e + secrets.REACH and b >= s - secrets.REACH for p, a, b in everything)
+        near = lambda other, s, e: any(p == other and scope(a) == scope(s) and (s >= b >= s - secrets.REACH or e <= a <= e + secrets.REACH) for p, a, b in everything)
         expected = sorted((s, secrets.KINDS.index(n), e) for n, _, s, e in weak if all(near(o, s, e) for o in needs[n]))
         assert secrets.linked_spans(text, base) == expected
