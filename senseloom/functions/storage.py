@@ -24,3 +24,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in at least as many partitions as the cluster runs tasks at once, dealt by ``key``: work per row that is much larger than the row should not follow the split of a few files.
+
+    A table of enough partitions stays where it is, so a large one is not shuffled.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)

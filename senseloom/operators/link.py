@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from senseloom.functions.arrays import jaccard_parts
@@ -25,26 +25,98 @@ def name(lemma: str = "lemma", sense_id: str = "sense_id"):
     return F.concat(F.col(lemma), F.lit("_"), F.col(sense_id).cast("string"))
 
 
+def _numbered(rows: DataFrame, *order) -> DataFrame:
+    """Add ``id``, a number that follows the given order; ranges of the order are sorted each on its own."""
+    return rows.orderBy(*order).withColumn("id", F.monotonically_increasing_id())
+
+
+def _compared(pairs: DataFrame, common: str = "common") -> DataFrame:
+    """Add shared, total and score to pairs of sets (set, other_set), whose common elements are given."""
+    shared = F.size(common).cast("long")
+    counted = pairs.withColumn("shared", shared).withColumn("total", F.size("set") + F.size("other_set") - F.col("shared"))
+    return counted.withColumn("score", F.col("shared") / F.col("total"))
+
+
+def _first(pairs: DataFrame, kept: int) -> DataFrame:
+    """The ``kept`` best of each set by score, then by the larger other: with ``rank``."""
+    order = Window.partitionBy("of").orderBy(F.desc("score"), F.desc("other"))
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= kept)
+
+
+def candidates_by_heads(sets: DataFrame, kept: int) -> DataFrame:
+    """Pairs of sets that meet in the head of a posting list of an element or of a pair of elements; ``sets`` has of and set (sorted).
+
+    A list's head are its ``kept`` + 1 first sets by size, then the largest number. All sets before another in a list that has no more in common with the asking set than the list's key
+    are at least as similar to it, so the heads hold every neighbour that shares one or two elements.
+    """
+    single = F.transform("set", lambda x: F.struct(x.alias("a"), x.alias("b")))
+    double = F.flatten(F.transform("set", lambda x, i: F.transform(F.slice("set", i + 2, F.size("set")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    keys = sets.select("of", "set", F.explode(F.concat(single, double)).alias("key")).select("of", "set", "key.a", "key.b")
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.size("set"), F.desc("of")))
+    heads = keys.withColumn("_nth", place).where(F.col("_nth") <= kept + 1).select("a", "b", F.col("of").alias("other"), F.col("set").alias("other_set"))
+    return keys.join(heads, ["a", "b"]).where("of <> other").withColumn("common", F.array_intersect("set", "other_set"))
+
+
+def candidates_by_prefix(sets: DataFrame, floors: DataFrame, most: int, least: int = 3) -> DataFrame:
+    """Pairs of sets with at least ``least`` elements in common that may reach the asking set's floor (of, floor: its last neighbour's score so far).
+
+    Elements are numbered from rare to frequent. For a floor t, sets of n and m elements need t / (1 + t) * (n + m) in common, which bounds the place of the first common
+    element in either set; so an asking set looks, for each element of its prefix, for the sets that hold it at a possible place. Size and place are part of the join's key: no pair beyond the
+    bounds is made, and a frequent element, which stands last, has no hot key. A pair counts at its first common element alone.
+    """
+    asked = sets.join(floors, "of", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    n, share = F.size("set"), F.col("floor") / (1 + F.col("floor"))
+
+    def of_size(i: Column, m: Column) -> Column:
+        need = F.greatest(F.lit(least), F.ceil(share * (n + m) - 1e-9).cast("int"))
+        places = F.transform(F.sequence(F.lit(0), F.greatest(m - need, F.lit(0))), lambda at: F.struct(F.get("set", i).alias("element"), m.alias("size"), at.alias("at")))
+        return F.filter(places, lambda x: (need <= n - i) & (need <= m))
+
+    sizes = F.sequence(F.lit(least), F.lit(max(least, most)))
+    probes = asked.withColumn("p", F.explode(F.flatten(F.transform("set", lambda _, i: F.flatten(F.transform(sizes, lambda m: of_size(i, m))))))).select("of", "set", "floor", "p.*")
+    held = sets.select(F.col("of").alias("other"), F.col("set").alias("other_set"), F.size("set").alias("size"), F.posexplode("set").alias("at", "element"))
+    met = probes.join(held, ["element", "size", "at"]).where("of <> other").withColumn("common", F.array_intersect("set", "other_set"))
+    return met.where((F.size("common") >= least) & (F.get("common", F.lit(0)) == F.col("element")))
+
+
+def closest_sets(sets: DataFrame, kept: int = KEPT) -> DataFrame:
+    """The ``kept`` most similar other sets of each distinct set that share an element: (of, other, shared, total, score, rank).
+
+    The heads of posting lists give neighbours and a floor for the rest; the prefix filter finds what else may exceed it. Every candidate is compared exactly.
+    """
+    columns = ("of", "other", "shared", "total", "score")
+    near = stored(_first(_compared(candidates_by_heads(sets, kept)).select(*columns).dropDuplicates(["of", "other"]), kept), "near")
+    floors = near.where(F.col("rank") == kept).select("of", F.col("score").alias("floor"))
+    most = sets.agg(F.max(F.size("set"))).first()[0] or 0
+    more = _compared(candidates_by_prefix(sets, floors, most)).where(F.col("score") >= F.col("floor")).select(*columns)
+    return _first(near.select(*columns).union(more).dropDuplicates(["of", "other"]), kept)
+
+
 def closest(signatures: DataFrame, kept: int = KEPT) -> DataFrame:
     """The ``kept`` most similar other senses of each sense by Jaccard: (sense, neighbour, shared, total, score, rank).
 
-    Only senses that share a token meet, through an inverted self-join whose pairs are counted before they are ranked; a sense with too few of those is filled up
-    with the last names of no overlap, as equal scores go by name, descending. Filling needs no pairs either: the same last names serve all.
+    Equal scores go by name, descending. Senses with the same tokens are one set, named by the last of them; of a set only its last names can be neighbours. Sets are compared by
+    :func:`closest_sets`. A sense with too few neighbours is filled up with the last names of no overlap: the same last names serve all.
     """
-    # Numbers in the order of the names stand for them until the links are chosen: the many pairs are counted and ranked as numbers.
-    by_name = signatures.select(name().alias("sense"), "tokens", F.size("tokens").cast("long").alias("size")).orderBy("sense")
-    named = stored(by_name.withColumn("id", F.monotonically_increasing_id()), "signatures")
-    tokens = named.select("id", F.explode("tokens").alias("token"))
-    shared = tokens.join(tokens.select(F.col("id").alias("other"), "token"), "token").where("id <> other").groupBy("id", "other").agg(F.count("*").alias("shared"))
-    sizes = named.select("id", "size")
-    other_sizes = named.select(F.col("id").alias("other"), F.col("size").alias("other_size"))
-    met = shared.join(sizes, "id").join(other_sizes, "other").select("id", "other", "shared", (F.col("size") + F.col("other_size") - F.col("shared")).alias("total"))
+    # Numbers in the order of the names stand for them until the links are chosen; tokens are numbered from rare to frequent.
+    named = stored(_numbered(signatures.select(name().alias("sense"), "tokens", F.size("tokens").cast("long").alias("size")), "sense"), "signatures")
+    tokens = named.select(F.col("id").alias("member"), F.explode("tokens").alias("token"))
+    rare = stored(_numbered(tokens.groupBy("token").agg(F.count("*").alias("n")), "n", "token"), "elements")
+    members = stored(tokens.join(rare, "token").groupBy("member").agg(F.sort_array(F.collect_list("id")).alias("set")), "members")
+    sets = stored(members.groupBy("set").agg(F.max("member").alias("of"), F.count("*").alias("copies")), "sets")
+    pairs = closest_sets(sets.select("of", "set"), kept).select("of", "other", "shared", "total")
+    size = F.size("set").cast("long")
+    pairs = pairs.union(sets.where("copies > 1").select("of", F.col("of").alias("other"), size, size))
+    placed = members.join(sets.select("set", "of"), "set").select("of", F.col("member").alias("id"))
+    last = placed.withColumn("_nth", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("id")))).where(F.col("_nth") <= kept + 1).select(F.col("of").alias("other"), F.col("id").alias("other_id"))
+    met = placed.join(pairs, "of").join(last, "other").where("id <> other_id").select("id", F.col("other_id").alias("other"), "shared", "total")
     order = Window.partitionBy("id").orderBy(F.desc(F.col("shared") / F.col("total")), F.desc("other"))
     best = stored(met.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= kept).drop("rank"), "met")
     # Senses that met too few are filled up with the last names in order: enough for any sense, itself and its own neighbours taken out.
-    last = named.orderBy(F.desc("id")).limit(2 * kept + 1).select(F.col("id").alias("other"), F.col("size").alias("other_size"))
+    sizes = named.select("id", "size")
+    last_names = named.orderBy(F.desc("id")).limit(2 * kept + 1).select(F.col("id").alias("other"), F.col("size").alias("other_size"))
     few = sizes.join(best.groupBy("id").agg(F.count("*").alias("n")), "id", "left").where(F.coalesce("n", F.lit(0)) < kept).select("id", "size")
-    filler = few.crossJoin(F.broadcast(last)).where("id <> other").join(best.select("id", "other"), ["id", "other"], "left_anti")
+    filler = few.crossJoin(F.broadcast(last_names)).where("id <> other").join(best.select("id", "other"), ["id", "other"], "left_anti")
     everyone = best.union(filler.select("id", "other", F.lit(0).cast("long"), F.col("size") + F.col("other_size")))
     ranked = everyone.withColumn("score", F.col("shared") / F.col("total")).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= kept)
     names = named.select("id", "sense")

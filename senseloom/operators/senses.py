@@ -78,7 +78,8 @@ def assign(cleaned: DataFrame, inventory: DataFrame, top: int = ASSIGN_TOP) -> D
         shared, union = jaccard_parts(F.col("reps"), s["tokens"])
         return F.struct((shared / union).alias("score"), (-s["sense_id"]).alias("down"), shared.cast("long").alias("shared"), union.cast("long").alias("total"))
 
-    best = joined.withColumn("best", F.array_max(F.transform("senses", compared))).where(F.col("best.shared") > 0)
+    # As a generator's row the best is computed once: a filter on it would be pushed into the join with a copy of the whole comparison.
+    best = joined.withColumn("best", F.explode(F.filter(F.array(F.array_max(F.transform("senses", compared))), lambda b: b["shared"] > 0)))
     return best.select("lemma", "file_id", "pos", (-F.col("best.down")).alias("sense_id"), "best.shared", "best.total", "best.score")
 
 

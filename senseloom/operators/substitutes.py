@@ -6,7 +6,7 @@ joined to occurrences as one array, so that cleaning is array functions within a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from senseloom.functions.arrays import first_of_each, let
@@ -58,6 +58,40 @@ def clean(found: DataFrame, n: int, drop_query: bool = True) -> DataFrame:
     return cut.withColumn("probs", probs).withColumn("reps", F.transform("reps", lambda x: x["lemma"]))
 
 
+def leading(fillers: DataFrame, n: int) -> DataFrame:
+    """The fillers that can be among an occurrence's first ``n`` lemmas, as one array by rank for each context: (prev, next, lead).
+
+    Of each lemma only the first filler counts, or the second if the first is the occurrence's own token; ``before`` says which of the two it is and ``own`` names
+    the first. Beyond the (n + 1)-th lemma nothing is needed, as an occurrence takes out one lemma at most. A context's list serves all its occurrences, so an
+    occurrence looks at twice that many fillers and not at all of them.
+    """
+    lemma, context = Window.partitionBy("prev", "next", "lemma").orderBy("rank"), Window.partitionBy("prev", "next").orderBy("rank")
+    usable = fillers.where(~F.col("token").startswith("##") & ~is_stop(F.col("token")))
+    marked = usable.withColumn("before", F.row_number().over(lemma) - 1).withColumn("own", F.first("token").over(lemma)).where("before <= 1")
+    cut = marked.withColumn("_nth", F.count_if(F.col("before") == 0).over(context)).where(F.col("_nth") <= n + 1)
+    return cut.groupBy("prev", "next").agg(F.array_sort(F.collect_list(F.struct("rank", "token", "lemma", "cnt", "before", "own"))).alias("lead"))
+
+
+def nearest(occurrences: DataFrame, fillers: DataFrame, n: int, drop_query: bool = True, kept: int = KEPT) -> DataFrame:
+    """:func:`substitutes` and :func:`clean` in one: occurrences with ``reps``, the first ``n`` lemmas of their context's other fillers, and ``probs``; those without any go.
+
+    As there, only the first ``kept`` fillers other than the own token count.
+    """
+    joined = occurrences.join(leading(fillers, n), ["prev", "next"])
+
+    def stays(x: Column) -> Column:
+        first = (x["before"] == 0) | (x["own"] == F.col("token"))
+        # The last of kept + 1 fillers counts only where the own token is one of those before it.
+        inside = (x["rank"] <= kept) | F.exists("lead", lambda y: (y["token"] == F.col("token")) & (y["rank"] <= kept))
+        return (x["token"] != F.col("token")) & first & inside & ((x["lemma"] != F.col("lemma")) | F.lit(not drop_query))
+
+    found = F.slice(F.filter("lead", stays), 1, n)
+    # A generator's rows are not computed again by a filter that is pushed below it.
+    cut = joined.withColumn("reps", F.explode(F.filter(F.array(found), lambda r: F.size(r) > 0))).drop("lead")
+    probs = let(F.aggregate("reps", F.lit(0.0), lambda s, x: s + x["cnt"]), lambda total: F.transform("reps", lambda x: x["cnt"] / total))
+    return cut.withColumn("probs", probs).withColumn("reps", F.transform("reps", lambda x: x["lemma"]))
+
+
 def flat(cleaned: DataFrame, keys: tuple[str, ...] = ("lemma", "file_id", "pos")) -> DataFrame:
     """One row per substitute: keys, rank (from 1), token, prob."""
     rows = cleaned.select(*keys, F.posexplode(F.arrays_zip("reps", "probs")).alias("rank", "x"))

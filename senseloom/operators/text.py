@@ -9,6 +9,8 @@ from senseloom.functions.arrays import greedy_packs, let
 from senseloom.functions.stopwords import STOP_WORDS
 
 PIECE = 8
+#: Positions of a bin in which positions and spans meet.
+BIN = 256
 WORD_PATTERN = r"\p{L}+"
 
 # Literal replacements that undo treebank tokenisation, applied in this order.
@@ -66,18 +68,25 @@ def annotatable_lemmas(vocab: DataFrame) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """file_id, paragraph, start, end: the positions [start, end) that each line of a document takes in its token stream."""
-    lines = docs.select(F.col("doc_id").alias("file_id"), F.transform(F.split("text", "\n"), lambda x: F.size(pieces(x)).cast("long")).alias("sizes"))
-    starts = F.transform("sizes", lambda n, i: F.struct(F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0).cast("long"), lambda a, b: a + b).alias("start"), n.alias("n")))
-    rows = lines.select("file_id", F.posexplode(starts).alias("paragraph", "s"))
-    return rows.select("file_id", F.col("paragraph").cast("long").alias("paragraph"), F.col("s.start").alias("start"), (F.col("s.start") + F.col("s.n")).alias("end"))
-
-
-def locate(positions: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Interval join of (file_id, pos) with paragraphs of the same file: adds paragraph and local_pos."""
-    spans = paragraphs.select(F.col("file_id").alias("_file"), "paragraph", "start", "end")
-    joined = positions.join(spans, (F.col("file_id") == F.col("_file")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end")))
-    return joined.select(*positions.columns, "paragraph", (F.col("pos") - F.col("start")).alias("local_pos"))
+    """file_id, paragraph, start, end: the positions [start, end) that each line of a document takes in its token stream.
+
+    A line's pieces are counted without being made; starts are one running sum over a file's lines.
+    """
+    lines = docs.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    sized = lines.select("file_id", F.col("paragraph").cast("long").alias("paragraph"), F.regexp_count(F.lower("line"), F.lit(rf"\p{{L}}{{1,{PIECE}}}")).cast("long").alias("n"))
+    end = F.sum("n").over(Window.partitionBy("file_id").orderBy("paragraph").rowsBetween(Window.unboundedPreceding, 0))
+    return sized.withColumn("end", end).select("file_id", "paragraph", (F.col("end") - F.col("n")).alias("start"), "end")
+
+
+def locate(positions: DataFrame, paragraphs: DataFrame, width: int = BIN) -> DataFrame:
+    """Interval join of (file_id, pos) with paragraphs of the same file: adds paragraph and local_pos.
+
+    Positions and spans are cut into bins of ``width`` positions and meet by file and bin, so a position is compared with the spans of its bin alone and a long file is spread over many keys.
+    Spans of one file do not overlap, so a bin has at most ``width`` spans that are not empty.
+    """
+    spans = paragraphs.where(F.col("end") > F.col("start")).select(F.col("file_id").alias("_file"), "paragraph", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))).alias("_bin"))
+    inside = (F.col("file_id") == F.col("_file")) & (F.floor(F.col("pos") / width) == F.col("_bin")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
+    return positions.join(spans, inside).select(*positions.columns, "paragraph", (F.col("pos") - F.col("start")).alias("local_pos"))
 
 
 def sentences_around(docs: DataFrame, words: list[str], stop: str | None = ".") -> DataFrame:

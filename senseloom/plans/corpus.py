@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from senseloom.functions.storage import stored
+from senseloom.functions.storage import spread, stored
 from senseloom.operators import graph, index, itemsets, link, senses, substitutes, text
 from senseloom.plans import sql
 from senseloom.streaming import increment
@@ -42,7 +42,9 @@ class Corpus:
 
     @cached_property
     def index(self) -> DataFrame:
-        return index.inverted_index(self.tokens, self.vocab)
+        """Tokens are counted and indexed from documents dealt to all tasks; a document's text is much smaller than its rows."""
+        tokens = text.tokens(spread(self.docs, "doc_id"))
+        return index.inverted_index(tokens, text.vocabulary(tokens))
 
     @cached_property
     def placed(self) -> DataFrame:
@@ -67,7 +69,7 @@ class Corpus:
         return substitutes.substitutes(index.instances(self.placed), self.ranked)
 
     def cleaned(self, n: int = N_REPS) -> DataFrame:
-        return substitutes.clean(self.found, n)
+        return substitutes.nearest(index.instances(self.placed), self.ranked, n)
 
     @cached_property
     def stage(self) -> DataFrame:
@@ -92,7 +94,7 @@ class Corpus:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        near = substitutes.clean(substitutes.substitutes(self.placed, self.ranked), senses.ASSIGN_TOP, drop_query=False)
+        near = substitutes.nearest(self.placed, self.ranked, senses.ASSIGN_TOP, drop_query=False)
         return senses.assign(near, self.inventory)
 
     @cached_property

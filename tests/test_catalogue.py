@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from senseloom.plans import corpus
 
 duckdb = pytest.importorskip("duckdb")
 DATA = Path("/root/testdata/sf0.001")
@@ -60,6 +61,8 @@ def plan(frame):
 def test_plans(spark):
     tokens = plan(entry.queries()["tokens_wordpiece"](spark, str(DATA)))
     assert "Exchange" not in tokens and "Python" not in tokens
-    edges = plan(entry.queries()["cooccurrence_edges"](spark, str(DATA)))
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in edges
+    held = corpus.Corpus(spark, str(DATA))
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(held.index)
+    edges = plan(held.edges)
+    assert "ReadSchema: struct<prev:string,next:string,token:string,lemma:string,cnt:bigint,rank:bigint>" in edges  # the stored fillers
     assert "Python" not in edges and "CartesianProduct" not in edges and "NestedLoop" not in edges
