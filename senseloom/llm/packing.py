@@ -221,24 +221,13 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     )
     ordinal = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "start")).cast("long") - 1 + F.col("_before")
     numbered = keyed.join(before, ["length", "_bucket"]).withColumn("_ordinal", ordinal).drop("_before", "_bucket")
-    runs.sort()
-    plan = spark.sparkContext.broadcast(np.array(runs, np.int64).reshape(-1, 6))
+    # Few runs per length, broadcast: pieces and their ids are placed where they are and never leave the JVM.
+    plan = F.broadcast(spark.createDataFrame(runs, "_length long, _first long, _n long, _sequence long, _each long, _offset long"))
+    placed = numbered.join(plan, (F.col("length") == F.col("_length")) & (F.col("_ordinal") >= F.col("_first")) & (F.col("_ordinal") < F.col("_first") + F.col("_n")))
+    nth = F.col("_ordinal") - F.col("_first")
+    sequence, offset = F.col("_sequence") + F.floor(nth / F.col("_each")), F.col("_offset") + nth % F.col("_each") * F.col("_length")
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = plan.value
-        top = run[:, 1].max(initial=0) + 1
-        key = run[:, 0] * top + run[:, 1]
-        for b in batches:
-            length, at = b.column("length").to_numpy(), b.column("_ordinal").to_numpy()
-            r = run[np.searchsorted(key, length * top + np.minimum(at, top - 1), "right") - 1]
-            nth = at - r[:, 1]
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in kept), pa.array(r[:, 3] + nth // r[:, 4]), pa.array(r[:, 5] + nth % r[:, 4] * length)], names=[*kept, "sequence_id", "offset"]
-            )
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in kept)
-    return numbered.select(*kept, "_ordinal").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return placed.select(*kept, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, emit: str = "ids") -> DataFrame:
