@@ -43,6 +43,15 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def two_decimals(x: Column) -> Column:
+    """A number from 0 to 1 rounded to two decimals as its binary value says, ties to the even digit; as text without trailing zeros (0.12, 0.5, 1.0)."""
+    whole = (x * float(1 << 60)).cast("long").cast("decimal(38,0)") * 100  # exact: a double has 53 bits
+    q = F.floor(whole / F.lit(1 << 60).cast("decimal(38,0)")).cast("decimal(38,0)")
+    rest, half = whole - q * F.lit(1 << 60).cast("decimal(38,0)"), F.lit(1 << 59).cast("decimal(38,0)")
+    up = (rest > half) | ((rest == half) & (q % 2 == 1))
+    return ((q + F.when(up, 1).otherwise(0)).cast("double") / 100).cast("string")
+
+
 def greedy_packs(sizes: Column, cap: int) -> Column:
     """Pack number of each item when consecutive items share a pack up to ``cap``; an oversize item has a pack of its own.
 

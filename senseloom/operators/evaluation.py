@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from senseloom.functions.arrays import cosine
+from senseloom.functions.storage import stored
 
 THRESHOLDS = tuple(x / 100 for x in range(50, 80, 2))
 
@@ -44,6 +45,46 @@ def b_cubed(cells: DataFrame) -> DataFrame:
     return pr.withColumn("f_score", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
 
 
+def _overlap(a: Column, b: Column) -> Column:
+    """Sum over shared labels of the smaller weight; ``a`` and ``b`` are arrays of (label, weight)."""
+    of = lambda x: F.aggregate(F.filter(b, lambda y: y["label"] == x["label"]), F.lit(0.0), lambda s, y: s + F.least(x["weight"], y["weight"]))
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + of(x))
+
+
+def fuzzy_b_cubed(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Fuzzy B-cubed of soft labellings by word: (word, precision, recall, f_score).
+
+    ``gold`` and ``predicted`` have word, item, label and weight (not negative; an item's weights are divided by their sum). Two items overlap by the sum of the smaller weights of shared labels. An item's
+    precision is the mean, over the other items that overlap with it in the prediction, of min(both overlaps) over the predicted one; recall likewise over gold. Means are taken over the items that have such
+    others; without any they are 0. Items of one pair of labellings are alike and are counted as one profile with a number, so pairs are made of distinct profiles that share a label, and an item in one labelling alone is
+    left out.
+    """
+
+    def side(labels: DataFrame, name: str) -> DataFrame:
+        total = F.sum("weight").over(Window.partitionBy("word", "item"))
+        shares = labels.groupBy("word", "item", "label").agg(F.sum("weight").alias("weight")).where("weight > 0").withColumn("weight", F.col("weight") / total)
+        return shares.groupBy("word", "item").agg(F.array_sort(F.collect_list(F.struct("label", "weight"))).alias(name))
+
+    profiles = side(gold, "g").join(side(predicted, "p"), ["word", "item"]).groupBy("word", "g", "p").agg(F.count("*").alias("n"))
+    profiles = stored(profiles.withColumn("id", F.monotonically_increasing_id()), "profiles")
+
+    def mean(by: str, other: str, name: str) -> DataFrame:
+        shared = profiles.select("word", "id", F.explode(F.transform(by, lambda x: x["label"])).alias("label"))
+        pairs = shared.join(shared.withColumnRenamed("id", "other"), ["word", "label"]).select("word", "id", "other").distinct()
+        a = profiles.select("id", F.col(by).alias("a"), F.col(other).alias("c"), "n")
+        b = profiles.select(F.col("id").alias("other"), F.col(by).alias("b"), F.col(other).alias("d"), F.col("n").alias("m"))
+        met = pairs.join(a, "id").join(b, "other").withColumn("m", F.col("m") - (F.col("id") == F.col("other")).cast("long")).where("m > 0")
+        base = _overlap(F.col("a"), F.col("b"))
+        part = F.least(base, _overlap(F.col("c"), F.col("d"))) / base
+        per = met.groupBy("word", "id").agg(F.max("n").alias("n"), (F.sum(F.col("m") * part) / F.sum("m")).alias("x"))
+        return per.groupBy("word").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias(name))
+
+    words = profiles.select("word").distinct()
+    scored = words.join(mean("p", "g", "precision"), "word", "left").join(mean("g", "p", "recall"), "word", "left").fillna(0.0)
+    p, r = F.col("precision"), F.col("recall")
+    return scored.withColumn("f_score", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0))
+
+
 def fuzzy_nmi(weights: DataFrame) -> DataFrame:
     """Normalised mutual information of soft labellings, re-derived: weights (item, g, gw, p, pw) are joint masses gw * pw, normalised per item."""
     mass = weights.withColumn("w", F.col("gw") * F.col("pw"))

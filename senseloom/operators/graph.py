@@ -79,9 +79,10 @@ def modularity(label: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, r
     return inside - resolution * ((np.bincount(label, degree) / (2 * total)) ** 2).sum()
 
 
-def _move(near: list[dict[int, float]], degree: np.ndarray, total: float, resolution: float, order: np.ndarray) -> np.ndarray:
-    """One level of local moving: every node joins the neighbouring community of greatest gain until none gains."""
-    home, weight = np.arange(len(near)), degree.copy()
+def _move(near: list[dict[int, float]], degree: np.ndarray, total: float, resolution: float, order: np.ndarray, home: np.ndarray | None = None) -> np.ndarray:
+    """One level of local moving from ``home`` (by default each node alone): every node joins the neighbouring community of greatest gain until none gains."""
+    home = np.arange(len(near)) if home is None else home.copy()
+    weight = np.bincount(home, degree, len(near)).astype(float)
     moved = True
     while moved:
         moved = False
@@ -102,37 +103,116 @@ def _move(near: list[dict[int, float]], degree: np.ndarray, total: float, resolu
     return home
 
 
-def louvain_labels(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = SEED, refine: bool = False) -> np.ndarray:
-    """Louvain communities; with ``refine`` communities are split into their connected parts before nodes are merged, as Leiden requires."""
-    rng = np.random.RandomState(seed)
-    label, total = np.arange(n), float(w.sum())
+def _refine(near: list[dict[int, float]], degree: np.ndarray, total: float, resolution: float, home: np.ndarray, rng: np.random.RandomState, heat: float = 0.01) -> np.ndarray:
+    """Split each community of ``home`` into parts that hang together: from single nodes on, a node that is still alone may join a part of its own community.
+
+    Both the node and the part must be well connected to the rest of the community, and the join must not lower the quality. Among such parts one is drawn, the likelier
+    the more it gains; so parts grow along edges only and are connected.
+    """
+    n = len(near)
+    part, members, weight = np.arange(n), np.ones(n, int), degree.astype(float).copy()
+    whole = np.bincount(home, degree, n)
+    outward = np.array([sum(w for j, w in x.items() if j != i and home[j] == home[i]) for i, x in enumerate(near)])  # of a part, to the rest of its community
+
+    def well(cut: float, own: float, c: int) -> bool:
+        return cut >= resolution * own * (whole[c] - own) / (2 * total) - 1e-12
+
+    for i in rng.permutation(n):
+        if part[i] != i or members[i] > 1 or not well(outward[i], degree[i], home[i]):
+            continue
+        links: dict[int, float] = defaultdict(float)
+        for j, w in near[i].items():
+            if j != i and home[j] == home[i]:
+                links[part[j]] += w
+        gains = {p: links[p] - resolution * degree[i] * weight[p] / (2 * total) for p in sorted(links) if well(outward[p], weight[p], home[i])}
+        gains = {p: g for p, g in gains.items() if g > 0}
+        if not gains:
+            continue
+        odds = np.exp((np.array(list(gains.values())) - max(gains.values())) / (heat * total))
+        p = list(gains)[rng.choice(len(odds), p=odds / odds.sum())]
+        outward[p] += outward[i] - 2 * links[p]
+        weight[p] += degree[i]
+        members[p], members[i], part[i] = members[p] + 1, 0, p
+    return part
+
+
+def _merged(near: list[dict[int, float]], home: np.ndarray) -> list[dict[int, float]]:
+    """The graph of the communities ``home`` (numbered from 0 without gaps); edges inside one become its loop."""
+    merged: list[dict[int, float]] = [defaultdict(float) for _ in range(home.max() + 1)]
+    for i, x in enumerate(near):
+        for j, value in x.items():
+            if i == j or home[i] != home[j]:
+                merged[home[i]][home[j]] += value
+            else:
+                merged[home[i]][home[i]] += value / 2
+    return merged
+
+
+def _start(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> list[dict[int, float]]:
     near: list[dict[int, float]] = [defaultdict(float) for _ in range(n)]
     for a, b, x in zip(u, v, w, strict=True):
         near[a][b] += x
         near[b][a] += x
+    return near
+
+
+def _degrees(near: list[dict[int, float]]) -> np.ndarray:
+    return np.array([sum(x.values()) + x.get(i, 0.0) for i, x in enumerate(near)])
+
+
+def louvain_labels(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = SEED) -> np.ndarray:
+    """Louvain communities: local moving, then the same on the graph of communities, until nothing moves."""
+    rng = np.random.RandomState(seed)
+    label, total, near = np.arange(n), float(w.sum()), _start(n, u, v, w)
     while True:
-        degree = np.array([sum(x.values()) + x.get(i, 0.0) for i, x in enumerate(near)])
-        home = _move(near, degree, total, resolution, rng.permutation(len(near)))
-        if refine:
-            pairs = [(i, j) for i, x in enumerate(near) for j in x if i < j and home[i] == home[j]]
-            a, b = (np.array(x, int) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-            home = component_labels(len(near), a, b, np.ones(len(a)))
+        home = _move(near, _degrees(near), total, resolution, rng.permutation(len(near)))
         _, home = np.unique(home, return_inverse=True)
         if home.max() + 1 == len(near):
             return label
-        label = home[label]
-        merged: list[dict[int, float]] = [defaultdict(float) for _ in range(home.max() + 1)]
-        for i, x in enumerate(near):
-            for j, value in x.items():
-                if i == j or home[i] != home[j]:
-                    merged[home[i]][home[j]] += value
-                else:
-                    merged[home[i]][home[i]] += value / 2
-        near = merged
+        label, near = home[label], _merged(near, home)
+
+
+def _leiden_pass(graph: list[dict[int, float]], total: float, resolution: float, rng: np.random.RandomState, label: np.ndarray) -> np.ndarray:
+    """One pass from the communities ``label``: local moving, refinement, and the same on the graph of refined parts, which starts from the unrefined communities."""
+    near, home, of = graph, label, np.arange(len(graph))  # of: each node's place in ``near``
+    while True:
+        degree = _degrees(near)
+        home = _move(near, degree, total, resolution, rng.permutation(len(near)), home)
+        if len(np.unique(home)) == len(near):
+            return np.unique(home, return_inverse=True)[1][of]
+        part = _refine(near, degree, total, resolution, home, rng)
+        if len(np.unique(part)) == len(near):  # nothing joined: connected parts instead, so that the pass ends
+            pairs = [(i, j) for i, x in enumerate(near) for j in x if i < j and home[i] == home[j]]
+            a, b = (np.array(x, int) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
+            part = component_labels(len(near), a, b, np.ones(len(a)))
+            if len(np.unique(part)) == len(near):
+                return np.arange(len(near))[of]
+        _, first, part = np.unique(part, return_index=True, return_inverse=True)
+        near, of = _merged(near, part), part[of]
+        home = np.unique(home[first], return_inverse=True)[1]
+
+
+def leiden_labels(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = SEED, patience: int = 4) -> np.ndarray:
+    """Leiden communities: passes of moving, refinement and aggregation, each from the best result so far, until ``patience`` passes in a row gain no modularity.
+
+    Every community is connected. The first pass starts from single nodes, the second idle one from Louvain's communities, so their modularity is never missed.
+    """
+    rng = np.random.RandomState(seed)
+    total, near = float(w.sum()), _start(n, u, v, w)
+    label = _leiden_pass(near, total, resolution, rng, np.arange(n))
+    best, idle = modularity(label, u, v, w, resolution), 0
+    while idle < patience:
+        new = _leiden_pass(near, total, resolution, rng, louvain_labels(n, u, v, w, resolution, seed) if idle == 1 else label)
+        if (reached := modularity(new, u, v, w, resolution)) > best + 1e-12:
+            label, best, idle = new, reached, 0
+        else:
+            idle += 1
+    return label
 
 
 def louvain(edges: DataFrame, resolution: float = 1.0, seed: int = SEED, algorithm: str = "louvain") -> DataFrame:
     """Communities of each lemma's graph by Louvain (or "leiden"): (lemma, token, community)."""
     if algorithm not in ("louvain", "leiden"):
         raise ValueError(f"unknown community algorithm {algorithm}")
-    return _by_lemma(edges, lambda n, u, v, w: louvain_labels(n, u, v, w, resolution, seed, algorithm == "leiden"))
+    labels = louvain_labels if algorithm == "louvain" else leiden_labels
+    return _by_lemma(edges, lambda n, u, v, w: labels(n, u, v, w, resolution, seed))

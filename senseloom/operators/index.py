@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from senseloom.operators.text import is_valid
 
 SEED = 111
 SAMPLE = 1000
+BUCKETS = 64
+#: A table of at most so many rows is broadcast.
+SMALL = 200_000
 
 
 def inverted_index(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -25,9 +28,31 @@ def positions(index: DataFrame) -> DataFrame:
     return index.groupBy("lemma", "file_id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def write_index(index: DataFrame, table: str, buckets: int = 64) -> None:
-    """Store the index bucketed and sorted by lemma, so that a look-up reads one bucket."""
-    index.write.bucketBy(buckets, "lemma").sortBy("lemma").saveAsTable(table)
+def write_index(index: DataFrame, table: str, buckets: int = BUCKETS, folder: str | None = None, batch: int = 0) -> None:
+    """Store the index (with lemma and file_id) bucketed and sorted by lemma: a look-up of a lemma reads one bucket, and joins with other tables bucketed alike need no shuffle.
+
+    A further call with a larger ``batch`` appends; the rows of a file in a later batch replace those of earlier ones when :func:`stored_index` reads the table. ``folder`` is the shared
+    folder that the table lies in, by default the warehouse. Rows are dealt by bucket before they are written, so each bucket is one file of each batch.
+    """
+    spark = index.sparkSession
+    rows = index.withColumn("batch", F.lit(batch)).repartition(buckets, "lemma")
+    writer = rows.write.bucketBy(buckets, "lemma").sortBy("lemma").mode("append")
+    if folder and not spark.catalog.tableExists(table):
+        writer = writer.option("path", f"{folder}/{table}")
+    writer.saveAsTable(table)
+
+
+def stored_index(spark: SparkSession, table: str, most: int = SMALL) -> DataFrame:
+    """The stored index without the rows that a later batch of their file has replaced. With one batch that is the table as it is.
+
+    The files of more than one batch are few beside the occurrences: they are broadcast after a count, else joined.
+    """
+    rows = spark.table(table)
+    if rows.select("batch").distinct().count() <= 1:
+        return rows.drop("batch")
+    last = rows.groupBy("file_id").agg(F.max("batch").alias("_last"), F.min("batch").alias("_first")).where("_last > _first").select(F.col("file_id").alias("_file"), "_last")
+    last = F.broadcast(last) if last.limit(most + 1).count() <= most else last
+    return rows.join(last, (F.col("file_id") == F.col("_file")) & (F.col("batch") < F.col("_last")), "left_anti").drop("batch")
 
 
 def look_up(index: DataFrame, lemmas: list[str]) -> DataFrame:

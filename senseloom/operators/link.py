@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from senseloom.functions.arrays import jaccard_parts
@@ -157,3 +157,46 @@ def infer_by_list(inventory: DataFrame, words: list[str], size: int = SIGNATURE)
     score = reduce(lambda a, b: a + b, [a / b for a, b in parts], F.lit(0.0))
     names = F.concat_ws(" ", *(F.concat(F.lit(f"{w}_"), F.col(f"s{i}").cast("string")) for i, w in enumerate(words)))
     return choice.select(names.alias("senses"), score.alias("score"))
+
+
+def infer_greedily(inventory: DataFrame, words: list[str], size: int = SIGNATURE, beam: int = 50) -> DataFrame:
+    """The same choice for longer lists: groups of senses grow word by word, best first, and the ``beam`` best groups of each length are kept: (senses, score).
+
+    Words go in the given order; a group's score is that of :func:`infer_by_list`, and equal ones go by the names of their senses. Each step compares at most ``beam`` groups with the senses of one
+    word, so a list of ten words ends however many senses they have. With a beam as large as the number of all choices the result is exact. A word without senses is left out; no word at all gives no
+    row.
+    """
+    sets = stored(signatures(inventory, size).where(F.col("lemma").isin(*words)).coalesce(1), "listed")  # the senses of the listed words
+    known = {r["lemma"] for r in sets.select("lemma").distinct().collect()}
+    groups = None
+    for word in (w for w in dict.fromkeys(words) if w in known):
+        one = sets.where(F.col("lemma") == word).select(F.concat(F.lit(f"{word}_"), F.col("sense_id").cast("string")).alias("sense"), F.col("tokens").alias("new"))
+        if groups is None:
+            grown = one.select(F.col("sense").alias("senses"), F.array("new").alias("chosen"), F.lit(0.0).alias("score"))
+        else:
+
+            def similar(t: Column) -> Column:
+                shared, union = jaccard_parts(F.col("new"), t)
+                return shared / union
+
+            gain = F.aggregate("chosen", F.lit(0.0), lambda s, t: s + similar(t))
+            grown = groups.crossJoin(F.broadcast(one)).select(F.concat_ws(" ", "senses", "sense").alias("senses"), F.concat("chosen", F.array("new")).alias("chosen"), (F.col("score") + gain).alias("score"))
+        # At most ``beam`` rows go on.
+        groups = grown.orderBy(F.desc(F.round("score", 9)), "senses").limit(beam)
+    if groups is None:
+        return sets.select(F.lit("").alias("senses"), F.lit(0.0).alias("score")).limit(0)
+    return groups.select("senses", "score")
+
+
+def store_links(links: DataFrame, path: str) -> None:
+    """The nearest senses of each sense as text, in folders by first letter: sense, then neighbour and score in rank order, tab-separated."""
+    line = F.concat_ws("\t", "sense", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "score"))), lambda x: F.concat_ws("\t", x["neighbour"], x["score"].cast("string"))), "\t"))
+    rows = links.groupBy("sense").agg(line.alias("value")).select("value", F.substring("sense", 1, 1).alias("letter"))
+    rows.write.mode("overwrite").partitionBy("letter").text(path)
+
+
+def read_links(spark: SparkSession, path: str) -> DataFrame:
+    """(sense, neighbour, score, rank) of links that :func:`store_links` wrote."""
+    parts = F.split("value", "\t")
+    pair = F.transform(F.sequence(F.lit(1), F.floor(F.size(parts) / 2).cast("int")), lambda i: F.struct(i.cast("long").alias("rank"), F.get(parts, 2 * i - 1).alias("neighbour"), F.get(parts, 2 * i).cast("double").alias("score")))
+    return spark.read.text(path).select(parts[0].alias("sense"), F.explode(pair).alias("p")).select("sense", "p.neighbour", "p.score", "p.rank")

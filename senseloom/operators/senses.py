@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from senseloom.functions.arrays import jaccard_parts
+from senseloom.functions.arrays import jaccard_parts, two_decimals
 from senseloom.operators.graph import nodes
 from senseloom.operators.text import is_valid
 
@@ -92,7 +92,7 @@ def aligned(tokens: DataFrame, assigned: DataFrame) -> DataFrame:
 def positions_by_sense(assigned: DataFrame) -> DataFrame:
     """(lemma, sense_id, file_id, found): occurrences of a sense in a file as pos,score by position, scores rounded to two decimals."""
     items = F.array_sort(F.collect_list(F.struct("pos", "score")))
-    line = F.array_join(F.transform(items, lambda x: F.concat(x["pos"].cast("string"), F.lit(","), F.format_string("%.2f", x["score"]))), " ")
+    line = F.array_join(F.transform(items, lambda x: F.concat(x["pos"].cast("string"), F.lit(","), two_decimals(x["score"]))), " ")
     return assigned.groupBy("lemma", "sense_id", "file_id").agg(line.alias("found"))
 
 

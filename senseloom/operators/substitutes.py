@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from senseloom.functions.arrays import first_of_each, let
+from senseloom.functions.storage import stored
 from senseloom.operators.text import is_stop
 
 KEPT = 100
+#: A table of at most so many rows is broadcast.
+SMALL = 200_000
 
 
 def context_fillers(index: DataFrame, kept: int = KEPT + 1) -> DataFrame:
@@ -58,6 +61,40 @@ def clean(found: DataFrame, n: int, drop_query: bool = True) -> DataFrame:
     return cut.withColumn("probs", probs).withColumn("reps", F.transform("reps", lambda x: x["lemma"]))
 
 
+def query_variants(words: DataFrame, vocab: DataFrame, most: int = SMALL) -> DataFrame:
+    """(word, token): what to remove from the substitutes of each query word of ``words`` (word).
+
+    That are the word as it is, in lower case and capitalised, as far as they are tokens of ``vocab`` (token, lemma), and every token whose lemma is removed already when the map of tokens to lemmas is gone through in the
+    order of tokens. So along a chain of lemmas only tokens that come later than their lemma follow it. Each round goes one lemma further and takes what is new; a chain's tokens ascend, so
+    the rounds end.
+    """
+    lemmas = vocab.select(F.col("token").alias("next"), F.col("lemma").alias("token")).where("next <> token")
+    lemmas = F.broadcast(lemmas) if lemmas.limit(most + 1).count() <= most else lemmas
+    forms = F.array_distinct(F.array("word", F.lower("word"), F.initcap(F.lower("word"))))
+    asked = words.select("word").distinct().select("word", F.explode(forms).alias("token"))
+    seen = stored(asked.join(vocab.select("token").distinct(), "token", "left_semi").select("word", "token", F.lit(True).alias("given")), "variants")
+    new = seen
+    while not new.isEmpty():
+        found = new.join(lemmas, "token").where(F.col("given") | (F.col("next") > F.col("token"))).select("word", F.col("next").alias("token")).distinct()
+        new = stored(found.join(seen.select("word", "token"), ["word", "token"], "left_anti").withColumn("given", F.lit(False)), "variants")
+        seen = stored(seen.unionByName(new), "variants")
+    return seen.select("word", "token")
+
+
+def without_words(cleaned: DataFrame, variants: DataFrame, word: str, most: int = SMALL) -> DataFrame:
+    """Take the variants of each row's query word (column ``word``) out of its ``reps``, and their ``probs`` if there are any; rows with none left go.
+
+    The words' variants travel as one array each, broadcast after a count.
+    """
+    held = variants.groupBy(F.col("word").alias("_word")).agg(F.collect_set("token").alias("_out"))
+    held = F.broadcast(held) if held.limit(most + 1).count() <= most else held
+    joined = cleaned.join(held, F.col(word) == F.col("_word"), "left").withColumn("_out", F.coalesce("_out", F.array().cast("array<string>")))
+    stays = lambda x: ~F.array_contains("_out", x)
+    if "probs" in cleaned.columns:
+        joined = joined.withColumn("probs", F.transform(F.filter(F.arrays_zip("reps", "probs"), lambda x: stays(x["reps"])), lambda x: x["probs"]))
+    return joined.withColumn("reps", F.filter("reps", stays)).where(F.size("reps") > 0).select(*cleaned.columns)
+
+
 def leading(fillers: DataFrame, n: int) -> DataFrame:
     """The fillers that can be among an occurrence's first ``n`` lemmas, as one array by rank for each context: (prev, next, lead).
 

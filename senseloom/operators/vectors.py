@@ -15,6 +15,8 @@ MAX_CLUSTERS = 7
 MIN_SIZE = 2
 CUTOFF = 0.9
 TILE = 65_536
+#: Centroids that may be broadcast.
+MOST_CLUSTERS = 50_000
 
 
 def tfidf(cleaned: DataFrame) -> DataFrame:
@@ -83,7 +85,9 @@ def merge_small_clusters(vectors: DataFrame, key: str, vector: str, least: int =
     """
     found = centroids(vectors, key, vector).withColumnRenamed(key, "cluster")
     big = found.where(F.col("n") >= least).select(F.col("cluster").alias("home"), F.col("centroid").alias("home_v"))
-    pairs = found.where(F.col("n") < least).join(big).select("cluster", "home", cosine(F.col("centroid"), F.col("home_v")).alias("c"))
+    # Clusters are few, but their number is not known: the large ones are broadcast after a count.
+    small = found.where(F.col("n") < least)
+    pairs = small.crossJoin(F.broadcast(big) if big.limit(MOST_CLUSTERS + 1).count() <= MOST_CLUSTERS else big).select("cluster", "home", cosine(F.col("centroid"), F.col("home_v")).alias("c"))
     nearest = pairs.groupBy("cluster").agg(F.max_by("home", F.struct("c", (-F.col("home")).alias("h"))).alias("home"))
     homes = found.join(nearest, "cluster", "left").select("cluster", F.col("n").alias("size"), F.coalesce("home", "cluster").alias("home"))
     return homes.select("cluster", "size", (F.dense_rank().over(Window.orderBy("home")) - 1).cast("long").alias("merged"))
@@ -178,16 +182,15 @@ def sense_keys(keys: DataFrame) -> DataFrame:
     return parsed.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("sense", "key")).cast("long"))
 
 
-def word2vec(sentences: DataFrame, size: int = 100, window: int = 5, min_count: int = 5, epochs: int = 10, seed: int = 111) -> DataFrame:
+def word2vec(sentences: DataFrame, size: int = 100, window: int = 5, min_count: int = 5, epochs: int = 10, seed: int = 111, parts: int = 16) -> DataFrame:
     """Skip-gram vectors of sense-tagged words: (key, word, sense, vector). ``sentences`` has an array of words.
 
-    Sentences are learnt from in as many partitions as they come in; the partitions' vectors are averaged after each epoch.
+    Sentences are learnt from in ``parts`` partitions, dealt by a hash of their words; the partitions' vectors are averaged after each epoch, so ``parts`` is a parameter of the result.
     """
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    words = stored(sentences.select("words"), "sentences")
-    parts = max(1, words.rdd.getNumPartitions())
+    words = stored(sentences.select("words"), "sentences").repartition(parts, F.xxhash64("words"))
     model = Word2Vec(numPartitions=parts, vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, inputCol="words", outputCol="v").fit(words)
     rows = model.getVectors().select(F.col("word").alias("key"), vector_to_array("vector").alias("vector"))
     return rows.select("key", F.split_part("key", F.lit("_"), F.lit(1)).alias("word"), F.expr("try_cast(nullif(split_part(key, '_', 2), '') AS BIGINT)").alias("sense"), "vector")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from senseloom.functions.storage import spread, stored
-from senseloom.operators import graph, index, itemsets, link, senses, substitutes, text
+from senseloom.functions.storage import shared_folder, spread, stored
+from senseloom.operators import batches, graph, index, itemsets, link, runs, senses, substitutes, text
 from senseloom.plans import sql
 from senseloom.streaming import increment
 
@@ -128,6 +129,63 @@ def shuffled(c: Corpus) -> DataFrame:
     return c.docs.select("doc_id", order.alias("place")).orderBy("place", "doc_id")
 
 
+def stored_index(c: Corpus) -> DataFrame:
+    """Look-up of some lemmas in a bucketed index of two batches: all documents, and every third of them again with other positions left out, which replaces them."""
+    table = f"index_{uuid.uuid4().hex}"
+    index.write_index(c.placed.select("lemma", "file_id", "pos"), table, folder=shared_folder(c.spark))
+    index.write_index(c.placed.where("file_id % 3 = 0 AND pos % 2 = 0").select("lemma", "file_id", "pos"), table, batch=1)
+    return index.look_up(index.stored_index(c.spark, table), LEMMAS)
+
+
+def batches_by_length(c: Corpus) -> DataFrame:
+    """Documents in padded batches of at most 16,384 words; small ranges, so that the test tables have several."""
+    words = F.size(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)))
+    return batches.length_batches(c.docs, "doc_id", words, range_rows=200).select("doc_id", "size", "noisy", "batch", "place")
+
+
+def inferred_greedily(c: Corpus) -> DataFrame:
+    """Senses of the ten lemmas that have most of them, by groups that grow word by word."""
+    many = c.inventory.groupBy("lemma").agg(F.countDistinct("sense_id").alias("n")).orderBy(F.desc("n"), "lemma").limit(10)
+    return rounded_score(link.infer_greedily(c.inventory, [r["lemma"] for r in many.orderBy(F.desc("n"), "lemma").collect()]))
+
+
+def rounded_score(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 9))
+
+
+def variants(c: Corpus) -> DataFrame:
+    """What is removed for every token of the vocabulary as a capitalised query word."""
+    words = c.vocab.where(text.is_valid(F.col("token"))).select(F.concat(F.translate(F.substring("token", 1, 1), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.substring("token", 2, 1 << 20)).alias("word"))
+    return substitutes.query_variants(words, c.vocab)
+
+
+def without_query(c: Corpus) -> DataFrame:
+    """Substitutes of sampled instances without the variants of their own token."""
+    held = stored(c.cleaned(20).select("lemma", "file_id", "pos", "token", "reps"), "with")
+    out = substitutes.query_variants(held.select(F.col("token").alias("word")), c.vocab)
+    return substitutes.without_words(held, out, "token").select("lemma", "file_id", "pos", F.posexplode("reps").alias("nth", "sub")).select("lemma", "file_id", "pos", (F.col("nth") + 1).cast("long").alias("nth"), "sub")
+
+
+def runs_of(c: Corpus, methods: list[str], n_reps: list[int], folder: str | None = None) -> str:
+    """Senses by several methods and numbers of substitutes, stored under the folder that is returned."""
+    folder = folder or f"{shared_folder(c.spark)}/senses-{uuid.uuid4().hex}"
+    near = stored(substitutes.nearest(c.placed, c.ranked, senses.ASSIGN_TOP, drop_query=False).select("lemma", "file_id", "pos", "reps"), "near")
+    runs.run(c.spark, folder, lambda n: stored(c.cleaned(n).select("lemma", "file_id", "pos", "reps"), "instances"), near, methods, n_reps, STRONG, MIN_SECOND)
+    return folder
+
+
+def louvain_path(c: Corpus) -> DataFrame:
+    """Occurrences of each sense by Louvain with 5 and with 20 substitutes, and how the senses are linked: one row per sense of either run."""
+    folder = runs_of(c, ["louvain"], [5, 20])
+    keys = ["method", "n_reps", "lemma", "sense_id"]
+    held = {t: runs.read(c.spark, folder, t) for t in runs.TABLES}
+    listed = held["inventory"].groupBy(*keys).agg(F.count("*").alias("tokens"))
+    found = held["assigned"].groupBy(*keys).agg(F.count("*").alias("occurrences"))
+    near = held["links"].where("rank = 1").select("method", "n_reps", "sense", F.col("neighbour").alias("closest"))
+    joined = listed.join(found, keys, "left").withColumn("sense", link.name()).join(near, ["method", "n_reps", "sense"], "left")
+    return joined.select(*keys, "tokens", F.coalesce("occurrences", F.lit(0).cast("long")).alias("occurrences"), "closest")
+
+
 def frequent_pairs(c: Corpus) -> DataFrame:
     return itemsets.apriori(c.stage, 3)
 
@@ -168,6 +226,33 @@ walk AS (SELECT doc_id, section, s, i, 0::BIGINT AS pack, size AS total FROM sen
 SELECT doc_id, section, pack AS "offset", string_agg(s, ' ' ORDER BY i) AS text FROM walk GROUP BY ALL"""
 
 
+LENGTH_BATCHES = r"""
+sized AS (SELECT doc_id, len(regexp_extract_all(text, '\p{L}+'))::BIGINT AS size, md5('111:' || doc_id) AS digest FROM documents),
+drawn AS (SELECT *, floor(size + size * 0.1::DOUBLE * (2 * (('0x' || substr(digest, 1, 8))::BIGINT::DOUBLE / 4294967296::DOUBLE) - 1))::BIGINT AS noisy FROM sized),
+lengths AS (SELECT noisy, count(*) AS n, (sum(count(*)) OVER (ORDER BY noisy) - count(*))::BIGINT AS before FROM drawn GROUP BY noisy),
+dealt AS (SELECT d.*, l.before // 200 AS range, CASE WHEN l.n > 200 THEN l.noisy ELSE -1 END AS first, CASE WHEN l.n > 200 THEN substr(d.digest, 1, least(6, ceil(log2(l.n / 200.0) / 4))::INT) ELSE '' END AS part FROM drawn d JOIN lengths l USING (noisy)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY range, first, part ORDER BY noisy, digest, size) AS i FROM dealt),
+walk AS (SELECT doc_id, size, noisy, range, first, part, i, 0::BIGINT AS local, 1::BIGINT AS n, size AS longest FROM placed WHERE i = 1
+  UNION ALL SELECT p.doc_id, p.size, p.noisy, p.range, p.first, p.part, p.i, CASE WHEN greatest(w.longest, p.size) * (w.n + 1) > 16384 THEN w.local + 1 ELSE w.local END,
+    CASE WHEN greatest(w.longest, p.size) * (w.n + 1) > 16384 THEN 1 ELSE w.n + 1 END, CASE WHEN greatest(w.longest, p.size) * (w.n + 1) > 16384 THEN p.size ELSE greatest(w.longest, p.size) END
+  FROM walk w JOIN placed p ON p.range = w.range AND p.first = w.first AND p.part = w.part AND p.i = w.i + 1),
+made AS (SELECT range, first, part, max(local) + 1 AS n FROM walk GROUP BY ALL),
+offsets AS (SELECT range, first, part, (sum(n) OVER (ORDER BY range, first, part) - n)::BIGINT AS base FROM made)
+SELECT doc_id, size, noisy, base + local AS batch, n - 1 AS place FROM walk JOIN offsets USING (range, first, part)"""
+
+GREEDY = """
+chosen AS (SELECT lemma, row_number() OVER (ORDER BY n DESC, lemma) AS place FROM (SELECT lemma, count(DISTINCT sense_id) AS n FROM sense GROUP BY lemma) ORDER BY n DESC, lemma LIMIT 10),
+sets AS (SELECT g.sense, c.place, list(g.token) AS tokens FROM sig g JOIN (SELECT DISTINCT lemma, lemma || '_' || sense_id AS sense FROM sense) s USING (sense) JOIN chosen c USING (lemma) GROUP BY ALL),
+beam1 AS (SELECT sense AS senses, [tokens] AS held, 0.0::DOUBLE AS score FROM sets WHERE place = 1 ORDER BY senses LIMIT 50)""" + "".join(f""",
+grown{i} AS (SELECT senses || ' ' || sense AS senses, list_append(held, tokens) AS held, score + list_sum(list_transform(held, lambda t: len(list_intersect(t, tokens)) / (len(t) + len(tokens) - len(list_intersect(t, tokens))))) AS score FROM beam{i - 1} JOIN sets ON place = {i}),
+beam{i} AS (SELECT * FROM grown{i} ORDER BY round(score, 9) DESC, senses LIMIT 50)""" for i in range(2, 11))
+
+VARIANTS = """
+forms AS (SELECT word, word AS f FROM words UNION SELECT word, lower(word) FROM words UNION SELECT word, upper(left(lower(word), 1)) || substr(lower(word), 2) FROM words),
+removed AS (SELECT f.word, v.token, true AS given FROM forms f JOIN vocab v ON v.token = f.f
+  UNION SELECT r.word, v.token, false FROM removed r JOIN vocab v ON v.lemma = r.token AND v.token <> r.token AND (r.given OR v.token > r.token))"""
+
+
 def _detokenise_sql() -> str:
     expr = r"regexp_replace(text, '([,.])(\s)', ' \1 \2', 'g')"
     for old, new in text.DETOKENISE:
@@ -190,6 +275,11 @@ sets AS (SELECT s.lemma, s.sense_id, s.lemma || '_' || s.sense_id AS name, c.pla
 pair AS (SELECT x.name AS x, y.name AS y, len(list_intersect(x.tokens, y.tokens)) / (len(x.tokens) + len(y.tokens) - len(list_intersect(x.tokens, y.tokens))) AS score FROM sets x JOIN sets y ON x.name <> y.name)""", recursive=True)),
     "index_summary": (lambda c: index.summary(c.index), st("SELECT lemma, count(*) AS matches, count(DISTINCT file_id) AS files FROM idx GROUP BY lemma", TOK)),
     "index_lookup": (lambda c: index.look_up(c.index, LEMMAS).select("lemma", "file_id", "pos"), st(f"SELECT lemma, file_id, pos FROM idx WHERE lemma IN ({_LIST})", TOK)),
+    "index_stored": (stored_index, st(f"SELECT lemma, file_id, pos FROM idx WHERE lemma IN ({_LIST}) AND (file_id % 3 <> 0 OR pos % 2 = 0)", TOK)),
+    "length_batches": (batches_by_length, "WITH RECURSIVE " + LENGTH_BATCHES),
+    "infer_senses_greedy": (inferred_greedily, st("SELECT senses, round(score, 9) AS score FROM beam10", *SENSE, sql.LINKS, GREEDY, recursive=True)),
+    "query_word_variants": (variants, st("SELECT DISTINCT word, token FROM removed", TOK, f"\nwords AS (SELECT DISTINCT CASE WHEN left(token, 1) BETWEEN 'a' AND 'z' THEN upper(left(token, 1)) ELSE left(token, 1) END || substr(token, 2) AS word FROM vocab WHERE {sql.valid('token')})", VARIANTS, recursive=True)),
+    "substitutes_without_query": (without_query, st("SELECT s.lemma, s.file_id, s.pos, row_number() OVER (PARTITION BY s.lemma, s.file_id, s.pos ORDER BY s.rank) AS nth, s.sub FROM subs s JOIN inst i USING (lemma, file_id, pos) WHERE NOT EXISTS (SELECT 1 FROM removed r WHERE r.word = i.token AND r.token = s.sub)", TOK, FILL, INST, SUBS20, "\nwords AS (SELECT DISTINCT token AS word FROM inst)", VARIANTS, recursive=True)),
     "context_fillers": (lambda c: c.fillers.select("prev", "next", "token", "cnt", "rank"), st("SELECT prev, next, token, cnt, rank FROM fill", TOK, FILL)),
     "sampled_instances": (lambda c: c.instances.select("lemma", "file_id", "pos"), st("SELECT lemma, file_id, pos FROM inst", TOK, INST)),
     "substitutes_topk": (
@@ -215,7 +305,7 @@ pair AS (SELECT x.name AS x, y.name AS y, len(list_intersect(x.tokens, y.tokens)
     "community_descriptions": (lambda c: senses.community_descriptions(senses.argmax(c.votes), c.stage), st("SELECT *, row_number() OVER (PARTITION BY lemma, community ORDER BY cnt DESC, token) AS rank FROM (SELECT lemma, community, s.sub AS token, count(*) AS cnt FROM best b JOIN subs s USING (lemma, file_id, pos) GROUP BY ALL) QUALIFY rank <= 10", *COMM, recursive=True)),
     "assign_senses": (lambda c: c.assigned, st("SELECT lemma, file_id, pos, sense_id, shared, total, score FROM assigned", *SENSE, sql.ASSIGNED, recursive=True)),
     "aligned_senses": (lambda c: senses.aligned(c.tokens, c.assigned), st("SELECT t.file_id, t.pos, coalesce(a.sense_id, -1) AS sense_id FROM tok t LEFT JOIN assigned a USING (file_id, pos)", *SENSE, sql.ASSIGNED, recursive=True)),
-    "positions_by_sense": (lambda c: senses.positions_by_sense(c.assigned).select("lemma", "sense_id", "file_id", F.regexp_replace("found", ",[0-9.]+", "").alias("positions")), st("SELECT lemma, sense_id, file_id, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS positions FROM assigned GROUP BY ALL", *SENSE, sql.ASSIGNED, recursive=True)),
+    "positions_by_sense": (lambda c: senses.positions_by_sense(c.assigned).select("lemma", "sense_id", "file_id", F.col("found").alias("positions")), st("SELECT lemma, sense_id, file_id, string_agg(pos || ',' || format('{:.2f}', score)::DOUBLE::VARCHAR, ' ' ORDER BY pos) AS positions FROM assigned GROUP BY ALL", *SENSE, sql.ASSIGNED, recursive=True)),
     "retrieve_by_sense": (lambda c: senses.retrieve(c.assigned, c.inventory.where(F.col("sense_id") == 1)).select("lemma", "sense_id", "file_id", "pos"), st(f"SELECT lemma, sense_id, file_id, pos FROM assigned WHERE sense_id = 1", *SENSE, sql.ASSIGNED, recursive=True)),
     "sense_histogram": (lambda c: senses.histogram(c.assigned, c.inventory), st("SELECT s.lemma, s.sense_id, s.lemma || ' ' || string_agg(s.token, ' ' ORDER BY s.rank) AS label, any_value(coalesce(a.n, 0)) AS n FROM sense s LEFT JOIN (SELECT lemma, sense_id, count(*) AS n FROM assigned GROUP BY ALL) a USING (lemma, sense_id) WHERE s.rank <= 4 GROUP BY s.lemma, s.sense_id", *SENSE, sql.ASSIGNED, recursive=True)),
     "sense_signatures": (lambda c: link.signatures(c.inventory).select(link.name().alias("sense"), F.explode("tokens").alias("token")), st("SELECT sense, token FROM sig", *SENSE, sql.LINKS, recursive=True)),
@@ -231,6 +321,7 @@ pair AS (SELECT x.name AS x, y.name AS y, len(list_intersect(x.tokens, y.tokens)
 ROWS_ONLY = {
     "louvain_senses": lambda c: graph.louvain(c.edges),
     "leiden_senses": lambda c: graph.louvain(c.edges, algorithm="leiden"),
+    "louvain_path": louvain_path,
 }
 
 QUERIES = {name: (lambda spark, sf_dir, plan=plan: plan(Corpus(spark, sf_dir))) for name, plan in [(k, v[0]) for k, v in CATALOGUE.items()] + list(ROWS_ONLY.items())}

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from senseloom.operators import evaluation, vectors
+from senseloom.operators import cbow, evaluation, vectors
 from senseloom.plans import corpus
 from senseloom.plans.sql import statement as st
 
@@ -108,6 +108,17 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id")
 
 
+def soft_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Soft gold and predicted labellings of the labelled documents by language: source and length class against quality and toxicity."""
+    docs = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    row = lambda label, weight: F.struct(label.alias("label"), F.lit(weight).alias("weight"))
+    name = lambda prefix, column: F.concat(F.lit(prefix), column.cast("string"))
+    gold = F.array(row(F.col("source"), 0.625), row(name("n", F.col("n_chars") % 3), 0.375))
+    predicted = F.array(row(name("q", F.col("quality")), 0.75), row(name("t", F.col("toxic")), 0.25))
+    side = lambda labels: docs.select(F.col("lang").alias("word"), F.col("doc_id").alias("item"), F.explode(labels).alias("x")).select("word", "item", "x.*")
+    return side(gold), side(predicted)
+
+
 def shrinkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = senses(spark, sf_dir)
     return vectors.shrinkage(held.select("word", "key"), held.select("word", "topic").distinct())
@@ -168,6 +179,11 @@ scored AS (SELECT a."case", a.word, a.is_outlier, sum(list_cosine_similarity(x.x
     "fuzzy_nmi": (lambda s, d: rounded(evaluation.fuzzy_nmi(labelled(s, d).select(F.col("doc_id").alias("item"), F.col("lang").alias("g"), F.lit(1.0).alias("gw"), F.explode(F.array(F.struct(F.concat(F.lit("q"), F.col("quality")).alias("p"), F.lit(0.75).alias("w")), F.struct(F.concat(F.lit("t"), F.col("toxic")).alias("p"), F.lit(0.25).alias("w")))).alias("x")).select("item", "g", "gw", "x.p", F.col("x.w").alias("pw"))), "fuzzy_nmi"), f"""WITH l AS ({_LABELLED}), m AS (SELECT lang AS g, 'q' || quality AS p, 0.75::DOUBLE AS w FROM l UNION ALL SELECT lang, 't' || toxic, 0.25::DOUBLE FROM l),
 j AS (SELECT g, p, sum(w) AS n FROM m GROUP BY ALL), c AS (SELECT n, sum(n) OVER (PARTITION BY g) AS gn, sum(n) OVER (PARTITION BY p) AS pn, sum(n) OVER () AS total FROM j)
 SELECT round(sum(n / total * ln(n * total / (gn * pn))) / greatest(sum(-n / total * ln(gn / total)), sum(-n / total * ln(pn / total))), 9) AS fuzzy_nmi FROM c"""),
+    "fuzzy_b_cubed": (lambda s, d: rounded(evaluation.fuzzy_b_cubed(*soft_labels(s, d)), "precision", "recall", "f_score"), """WITH l AS (SELECT lang AS word, doc_id AS item, source, n_chars % 3 AS c, quality, toxic FROM labels JOIN documents USING (doc_id)),
+o AS (SELECT a.word, a.item, (a.source = b.source)::INT * 0.625::DOUBLE + (a.c = b.c)::INT * 0.375::DOUBLE AS g, (a.quality = b.quality)::INT * 0.75::DOUBLE + (a.toxic = b.toxic)::INT * 0.25::DOUBLE AS p FROM l a JOIN l b ON a.word = b.word AND a.item <> b.item),
+i AS (SELECT word, item, avg(least(g, p) / p) FILTER (p > 0) AS pr, avg(least(g, p) / g) FILTER (g > 0) AS re FROM o GROUP BY ALL),
+w AS (SELECT word, coalesce(avg(pr), 0) AS pr, coalesce(avg(re), 0) AS re FROM (SELECT DISTINCT word FROM l) LEFT JOIN i USING (word) GROUP BY word)
+SELECT word, round(pr, 9) AS precision, round(re, 9) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 9) AS f_score FROM w"""),
     "score_by_group": (lambda s, d: rounded(evaluation.score_by_group(labelled(s, d), "lang", ["quality", "toxic"]), "quality", "toxic", "score"), f"SELECT lang, round(q, 9) AS quality, round(t, 9) AS toxic, round(sqrt(q * t), 9) AS score FROM (SELECT lang, avg(quality) AS q, avg(toxic) AS t FROM ({_LABELLED}) GROUP BY lang)"),
     "gold_crosstab": (lambda s, d: evaluation.crosstab(labelled(s, d), "lang", "quality", [0, 1]), f"SELECT lang, count_if(quality = 0)::BIGINT AS quality_0, count_if(quality = 1)::BIGINT AS quality_1 FROM ({_LABELLED}) GROUP BY lang"),
     "sense_shrinkage": (shrinkage, st("SELECT before, after, before_many, after_many, (before - after) / before AS shrunk, (before_many - after_many) / before_many AS shrunk_many FROM (SELECT sum(b)::BIGINT AS before, sum(a)::BIGINT AS after, sum(CASE WHEN b > 1 THEN b ELSE 0 END)::BIGINT AS before_many, sum(CASE WHEN b > 1 THEN a ELSE 0 END)::BIGINT AS after_many FROM (SELECT word, count(*) AS b, count(DISTINCT topic) AS a FROM s GROUP BY word))", V, SENSES)),
@@ -179,6 +195,7 @@ ROWS_ONLY = {
     "hac_senses": lambda s, d: vectors.hac_senses(corpus.Corpus(s, d).stage),
     "merge_close_senses": lambda s, d: vectors.merge_close_senses(senses(s, d), 0.3),
     "word2vec_senses": lambda s, d: vectors.word2vec(tagged(s, d)),
+    "cbow_senses": lambda s, d: cbow.cbow(tagged(s, d)),
 }
 
 QUERIES = {k: v[0] for k, v in CATALOGUE.items()} | ROWS_ONLY
