@@ -138,7 +138,7 @@ def train(texts: list[str], labels: list[float], bits: int = 16, dim: int = 16,
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) to every row; a null text is an empty one.
+    """Add ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) to every row; a null text is an empty one. Repeated rows share a score, an empty table gives an empty one.
 
     The model (a number per bucket) is broadcast; its size is fixed by ``bits``. Columns of those names are replaced.
     """
