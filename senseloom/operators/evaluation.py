@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from senseloom.functions.arrays import cosine
+from senseloom.functions.arrays import cosine, let, norm
+from senseloom.functions.stopwords import STOP_WORDS
 from senseloom.functions.storage import stored
 
+# The punctuation marks of ASCII.
+PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 THRESHOLDS = tuple(x / 100 for x in range(50, 80, 2))
 
 
@@ -151,6 +154,61 @@ def best_threshold(scores: DataFrame) -> DataFrame:
     return scores.orderBy(F.desc("accuracy"), "threshold").limit(1)
 
 
+def with_fallback(words: DataFrame, vectors: DataFrame, unknown: str = "UNK") -> DataFrame:
+    """(word, vector, known) of each word: its own vector at length 1, or the one of ``unknown`` as it is where the word has none. ``vectors`` has key and vector, one row per key.
+
+    Without a vector of ``unknown`` such words get null; a vector of zeros stays one.
+    """
+    own = vectors.select(F.col("key").alias("word"), F.col("vector").alias("_own"))
+    other = vectors.where(F.col("key") == unknown).agg(F.first("vector").alias("_other"))  # one row
+    joined = words.select("word").join(own, "word", "left").crossJoin(F.broadcast(other))
+    unit = let(norm(F.col("_own")), lambda n: F.when(n > 0, F.transform("_own", lambda x: x / n)).otherwise(F.col("_own")))
+    return joined.select("word", F.when(F.col("_own").isNotNull(), unit).otherwise(F.col("_other")).alias("vector"), F.col("_own").isNotNull().alias("known"))
+
+
+def candidate_keys(words: DataFrame, keys: DataFrame, lemmas: DataFrame | None = None, most: int = 10) -> DataFrame:
+    """The sense keys that a word may have: (word, key, nth) in order, nth from 0.
+
+    These are word_0 .. word_9 as far as they are among ``keys`` (key), the bare word only if there is none of them, and after these the lemma's, found likewise, that are not among them already.
+    ``lemmas`` has word and lemma. Keys are made from the words and kept by a semi-join, so the keys' table is not searched by prefix.
+    """
+    asked = words.select("word").distinct()
+    of = asked.select("word", F.col("word").alias("stem"), F.lit(0).alias("turn"))
+    if lemmas is not None:
+        of = of.union(asked.join(lemmas.select("word", F.col("lemma").alias("stem")), "word").where("stem <> word").select("word", "stem", F.lit(1).alias("turn")))
+    numbered = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.struct(F.concat("stem", F.lit("_"), i.cast("string")).alias("key"), i.alias("place")))
+    made = of.select("word", "turn", F.explode(F.concat(numbered, F.array(F.struct(F.col("stem").alias("key"), F.lit(most).alias("place"))))).alias("k")).select("word", "turn", "k.*")
+    held = made.join(keys.select("key").distinct(), "key", "left_semi")
+    least = F.min("place").over(Window.partitionBy("word", "turn"))
+    kept = held.withColumn("_least", least).where((F.col("place") < most) | (F.col("_least") == most))
+    first = kept.groupBy("word", "key").agg(F.min(F.struct("turn", "place")).alias("at"))
+    return first.withColumn("nth", F.row_number().over(Window.partitionBy("word").orderBy("at")).cast("long") - 1).select("word", "key", "nth")
+
+
+def case_variants(word: Column) -> Column:
+    """The word as it is, capitalised, and in capitals, each form once."""
+    return F.array_distinct(F.array(word, F.initcap(word), F.upper(word)))
+
+
+def variant_keys(words: DataFrame, keys: DataFrame, senses: int = 3) -> DataFrame:
+    """(word, key): the keys of a word in all its cases, bare and with the first ``senses`` numbers, that are among ``keys`` (key): the variants that :func:`outlier_scores` takes as a word's own."""
+    form = words.select("word").distinct().select("word", F.explode(case_variants(F.col("word"))).alias("form"))
+    ends = F.array(F.lit(""), *(F.lit(f"_{i}") for i in range(senses)))
+    made = form.select("word", F.explode(F.transform(ends, lambda e: F.concat("form", e))).alias("key")).distinct()
+    return made.join(keys.select("key").distinct(), "key", "left_semi").select("word", "key")
+
+
+def context_words(sentence: Column, position: Column, punctuation: str = PUNCTUATION) -> Column:
+    """The words of a sentence (array) but for the one at ``position`` (from 0), single punctuation marks and stop words."""
+    return F.filter(sentence, lambda x, i: (i != position) & ~x.isin(*punctuation) & ~x.isin(*STOP_WORDS))
+
+
+def ordered_union(a: Column, b: Column) -> Column:
+    """The keys of two lists, each once, in order; if any is a numbered sense (with _), only those."""
+    both = lambda keys: let(F.filter(keys, lambda k: k.contains("_")), lambda s: F.when(F.size(s) > 0, s).otherwise(keys))
+    return let(F.array_distinct(F.concat(a, b)), both)
+
+
 def outlier_scores(members: DataFrame, vectors: DataFrame, missing: float | None = -1.0) -> DataFrame:
     """Compactness of each word of a test group: (case, word, is_outlier, score).
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from senseloom.operators.text import pieces
+
 # Lemmas a lemmatizer gives for forms whose instances are filed under another lemma.
 OTHER_LEMMAS = {
     "stuck": "stick", "swam": "swim", "lain": "lie", "swore": "swear", "lie": "lay", "lay": "lie", "commissions": "commission", "shaving": "shave",
@@ -69,6 +71,36 @@ def index_by_occurrence(tokens: DataFrame, instances: DataFrame) -> DataFrame:
     return numbered.join(instances.withColumnRenamed("target", "token"), ["doc_id", "token", "which"]).select("inst_id", F.substring_index("inst_id", ".", 2).alias("lemma"), "file_id", "pos")
 
 
+def single_piece(target: Column, lemma: Column) -> Column:
+    """The piece by which a target is looked up: itself if it is one piece, else the first piece of its lemma."""
+    return F.when(F.size(pieces(target)) == 1, F.lower(target)).otherwise(F.get(pieces(lemma), F.lit(0)))
+
+
+def require_single_pieces(words: DataFrame) -> DataFrame:
+    """``words`` (word) as they are; ValueError if one of them is not a single piece."""
+    split = words.where(F.size(pieces(F.col("word"))) != 1).select("word").limit(10).collect()
+    if split:
+        raise ValueError(f"more or less than one piece: {', '.join(sorted(str(r['word']) for r in split))}")
+    return words
+
+
+def merge(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two sets of instances as one; columns that one of them lacks are null there, and instances in both (of one inst_id) are taken from the first."""
+    return one.unionByName(other.join(one.select("inst_id").distinct(), "inst_id", "left_anti"), allowMissingColumns=True)
+
+
+def with_documents(instances: DataFrame, positions: DataFrame) -> DataFrame:
+    """Instances (inst_id) with the file that each is in; ``positions`` has inst_id and file_id. An instance has one document: others are an error."""
+    found = positions.groupBy("inst_id").agg(F.countDistinct("file_id").alias("_n"), F.min("file_id").alias("file_id"))
+    one = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("instance of several documents: "), "inst_id"))).otherwise(F.col("file_id"))
+    return instances.join(found.select("inst_id", one.alias("file_id")), "inst_id")
+
+
+def distinct_words(df: DataFrame, *columns: str) -> DataFrame:
+    """The words of several columns (arrays of words), each once: (word)."""
+    return df.select(F.explode(F.array_distinct(F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in columns)))).alias("word")).where("word IS NOT NULL").distinct()
+
+
 def target_substitutes(replacements: DataFrame, targets: DataFrame, kept: int = 100) -> DataFrame:
     """Substitutes at target positions only, identity included: (inst_id, reps)."""
     return replacements.join(targets, ["file_id", "pos"]).select("inst_id", F.slice("reps", 1, kept).alias("reps"))

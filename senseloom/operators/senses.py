@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from senseloom.functions.arrays import jaccard_parts, two_decimals
 from senseloom.operators.graph import nodes
-from senseloom.operators.text import is_valid
+from senseloom.operators.text import is_valid, pieces
 
 QUERY_SIZE = 10
 MIN_SECOND = 10
@@ -108,6 +108,20 @@ def histogram(assigned: DataFrame, inventory: DataFrame, shown: int = 4) -> Data
     return labels.join(counted, ["lemma", "sense_id"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+def examples(assigned: DataFrame, docs: DataFrame, n: int = 5, reach: int = 8) -> DataFrame:
+    """The first ``n`` occurrences of each sense by file and position, with the pieces up to ``reach`` places around: (lemma, sense_id, nth, file_id, pos, example). ``docs`` has doc_id and text.
+
+    Occurrences are chosen before texts are read, so a text is cut for chosen occurrences alone.
+    """
+    order = Window.partitionBy("lemma", "sense_id").orderBy("file_id", "pos")
+    chosen = assigned.withColumn("nth", F.row_number().over(order).cast("long")).where(F.col("nth") <= n).select("lemma", "sense_id", "nth", "file_id", "pos")
+    wanted = chosen.groupBy("file_id").agg(F.collect_list(F.struct("lemma", "sense_id", "nth", "pos")).alias("found"))
+    stream = docs.join(wanted, F.col("doc_id") == F.col("file_id")).select("file_id", "found", pieces(F.col("text")).alias("s"))
+    start = lambda x: F.greatest(x["pos"] - reach, F.lit(0)).cast("int")
+    cut = F.transform("found", lambda x: x.withField("example", F.array_join(F.slice("s", start(x) + 1, (x["pos"] + reach + 1).cast("int") - start(x)), " ")))
+    return stream.select("file_id", F.explode(cut).alias("x")).select("x.lemma", "x.sense_id", "x.nth", "file_id", "x.pos", "x.example")
+
+
 def community_descriptions(best: DataFrame, cleaned: DataFrame, n: int = 10) -> DataFrame:
     """The most frequent tokens among a community's own instances: (lemma, community, rank, token, cnt)."""
     own = best.join(cleaned.select("lemma", "file_id", "pos", "reps"), ["lemma", "file_id", "pos"]).select("lemma", "community", F.explode("reps").alias("token"))

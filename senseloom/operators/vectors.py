@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from senseloom.functions.arrays import cosine
@@ -196,6 +196,23 @@ def word2vec(sentences: DataFrame, size: int = 100, window: int = 5, min_count:
     return rows.select("key", F.split_part("key", F.lit("_"), F.lit(1)).alias("word"), F.expr("try_cast(nullif(split_part(key, '_', 2), '') AS BIGINT)").alias("sense"), "vector")
 
 
+def save_vectors(vectors: DataFrame, path: str, files: int = 16) -> None:
+    """Store vectors (key, vector, ..), dealt into ranges of keys and sorted, so that a look-up of a key skips the other files by their statistics."""
+    vectors.repartitionByRange(files, "key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
+    """Stored vectors, or those of some keys; KeyError if one of them is missing."""
+    rows = spark.read.parquet(path)
+    if keys is None:
+        return rows
+    found = rows.where(F.col("key").isin(*keys))
+    missing = set(keys) - {r["key"] for r in found.select("key").collect()}
+    if missing:
+        raise KeyError(f"no vector of {', '.join(sorted(missing))}")
+    return found
+
+
 def tag_sentences(tokens: DataFrame, paragraphs: DataFrame, aligned: DataFrame) -> DataFrame:
     """Sense-tagged words of each paragraph: (file_id, paragraph, words). A piece with a sense is written piece_sense; ## pieces are glued to the one before.
 

@@ -20,13 +20,13 @@ def cleaned(name: str, source: str, n: int, drop_query: bool) -> str:
 
 
 TOKENS = rf"""
-tok AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY wo, po) - 1 AS pos, CASE WHEN po > 1 THEN '##' || piece ELSE piece END AS token, po > 1 AS is_half
+tok AS MATERIALIZED (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY wo, po) - 1 AS pos, CASE WHEN po > 1 THEN '##' || piece ELSE piece END AS token, po > 1 AS is_half
   FROM (SELECT file_id, wo, unnest(ps) AS piece, generate_subscripts(ps, 1) AS po
     FROM (SELECT file_id, wo, regexp_extract_all(word, '.{{1,8}}') AS ps
       FROM (SELECT doc_id AS file_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS wo FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+') AS ws FROM documents))))),
 nbr AS (SELECT *, lag(token) OVER w AS prev, lead(token) OVER w AS next, coalesce(lead(is_half) OVER w, false) AS next_half FROM tok WINDOW w AS (PARTITION BY file_id ORDER BY pos)),
-counted AS (SELECT token, count(*) AS n FROM tok GROUP BY token),
-vocab AS (SELECT a.token, coalesce(b.token, a.token) AS lemma, starts_with(a.token, '##') AS is_half, a.token IN ({STOPS}) OR length(a.token) = 1 AS is_stop, a.n
+counted AS MATERIALIZED (SELECT token, count(*) AS n FROM tok GROUP BY token),
+vocab AS MATERIALIZED (SELECT a.token, coalesce(b.token, a.token) AS lemma, starts_with(a.token, '##') AS is_half, a.token IN ({STOPS}) OR length(a.token) = 1 AS is_stop, a.n
   FROM counted a LEFT JOIN counted b ON b.token = CASE WHEN starts_with(a.token, '##') THEN NULL WHEN a.token LIKE '%ing' THEN left(a.token, -3) WHEN a.token LIKE '%ed' THEN left(a.token, -2) WHEN a.token LIKE '%s' THEN left(a.token, -1) END),
 idx AS (SELECT v.lemma, n.file_id, n.pos, n.token, n.prev, n.next FROM nbr n JOIN vocab v USING (token) WHERE {valid("n.token")} AND NOT n.next_half)"""
 

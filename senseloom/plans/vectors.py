@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from senseloom.functions.arrays import norm
 from senseloom.operators import cbow, evaluation, vectors
+from senseloom.operators import senses as sense_ops
 from senseloom.plans import corpus
+from senseloom.plans.sql import STOPS
 from senseloom.plans.sql import statement as st
 
 CLUSTER_LEAST = 50
@@ -119,13 +122,47 @@ def soft_labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return side(gold), side(predicted)
 
 
+def key_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words, keys and lemmas: every second word has numbered keys, every fifth a bare one, every seventh one in capitals; a word's lemma is the one of its number divided by four."""
+    held = senses(spark, sf_dir)
+    name = lambda n: F.concat(F.lit("v"), n.cast("string"))
+    numbered = held.where("n % 2 = 0").select("key")
+    bare = held.where("n % 5 = 0").select(F.when(F.col("n") % 7 == 0, F.upper("word")).otherwise(F.col("word")).alias("key"))
+    words = held.select("word", name(F.floor(F.col("n") / 4)).alias("lemma")).distinct()
+    return words.select("word"), numbered.union(bare).distinct(), words
+
+
+def sense_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.candidate_keys(*key_tables(spark, sf_dir))
+
+
+def cased_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, keys, _ = key_tables(spark, sf_dir)
+    return evaluation.variant_keys(words, keys, 2)
+
+
+def fallback_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's vector, of which two in three are missing: its first component and its length."""
+    held = senses(spark, sf_dir)
+    known = held.where("sense = 0 AND n % 3 = 0").select(F.col("word").alias("key"), "vector")
+    unknown = held.where("n = 1 AND sense = 0").select(F.lit("UNK").alias("key"), "vector")
+    found = evaluation.with_fallback(held.select("word").distinct(), known.union(unknown))
+    return rounded(found.select("word", "known", F.col("vector")[0].alias("first"), norm(F.col("vector")).alias("length")), "first", "length")
+
+
+def turn_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context words of one word of every turn: without itself, punctuation marks and stop words."""
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(F.lower(F.regexp_replace("text", "([.,!?])", " $1 ")), " +").alias("s"))
+    words = evaluation.context_words(F.col("s"), F.col("turn") % F.size("s"))
+    return turns.select("conv_id", "turn", F.array_join(words, " ").alias("context"))
+
+
 def shrinkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = senses(spark, sf_dir)
     return vectors.shrinkage(held.select("word", "key"), held.select("word", "topic").distinct())
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from senseloom.operators import senses as sense_ops
     from senseloom.operators import text
 
     c = corpus.Corpus(spark, sf_dir)
@@ -152,6 +189,10 @@ ctx AS (SELECT n AS item, side, word, 'v' || (n + d) AS context FROM words, (VAL
 fit AS (SELECT o.item, o.side, k.key, k.x, avg(list_cosine_similarity(k.x, c.x)) AS fit FROM (SELECT DISTINCT item, side, word FROM ctx) o JOIN s k ON k.word = o.word LEFT JOIN (SELECT item, side, s.x FROM ctx JOIN s ON s.word = ctx.context) c ON c.item = o.item AND c.side = o.side GROUP BY ALL),
 best AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY item, side ORDER BY coalesce(fit, -2) DESC, key) = 1),
 sim AS (SELECT w.n AS item, c.senses, CASE WHEN c.senses > 1 THEN list_cosine_similarity(a.x, b.x) END AS similarity, w.topic FROM words w JOIN (SELECT word, count(*) AS senses FROM s GROUP BY ALL) c USING (word) LEFT JOIN best a ON a.item = w.n AND a.side = 1 LEFT JOIN best b ON b.item = w.n AND b.side = 2)"""
+KEYS = """
+words AS (SELECT DISTINCT word, 'v' || (n // 4) AS lemma FROM s),
+keys AS (SELECT key FROM s WHERE n % 2 = 0 UNION SELECT CASE WHEN n % 7 = 0 THEN upper(word) ELSE word END FROM s WHERE n % 5 = 0)"""
+PUNCT = ", ".join("'" + ("''" if x == "'" else x) + "'" for x in evaluation.PUNCTUATION)
 CELLS = """
 cells AS (SELECT lang AS g, source AS p, count(*) AS n FROM documents GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY g)::BIGINT AS gn, sum(n) OVER (PARTITION BY p)::BIGINT AS pn, sum(n) OVER ()::BIGINT AS total FROM cells)"""
@@ -173,6 +214,14 @@ scored AS (SELECT "case", word, is_outlier, max(t) AS score FROM own GROUP BY AL
 scored AS (SELECT a."case", a.word, a.is_outlier, sum(list_cosine_similarity(x.x, y.x)) AS score FROM member a JOIN member b ON a."case" = b."case" AND a.word <> b.word JOIN s x ON x.word = a.word AND x.sense = 0 JOIN s y ON y.word = b.word AND y.sense = 0 GROUP BY ALL)""", PLACE.replace('SELECT "case", word, position', "SELECT 100 * sum(position) / 8 / count(*) AS opp, count_if(position = 8) / count(*) AS accuracy")))),
     "wic_predict": (wic_predict, st("SELECT item, senses, round(similarity, 9) AS similarity, senses <= 1 OR coalesce(similarity > 0.2, false) AS same FROM sim", V, SENSES, WIC)),
     "wic_thresholds": (wic_thresholds, st("SELECT threshold, count_if(said AND gold)::BIGINT AS tp, count_if(said AND NOT gold)::BIGINT AS fp, count_if(NOT said AND gold)::BIGINT AS fn, count_if(NOT said AND NOT gold)::BIGINT AS tn, 100 * (count_if(said = gold)) / count(*) AS accuracy FROM (SELECT t / 100.0::DOUBLE AS threshold, topic % 2 = 0 AS gold, senses <= 1 OR coalesce(similarity > t / 100.0::DOUBLE, false) AS said FROM sim, range(50, 80, 2) r(t)) GROUP BY ALL", V, SENSES, WIC)),
+    "wic_best_threshold": (lambda s, d: evaluation.best_threshold(wic_thresholds(s, d)).select("threshold", "accuracy"), st("SELECT threshold, 100 * count_if(said = gold) / count(*) AS accuracy FROM (SELECT t / 100.0::DOUBLE AS threshold, topic % 2 = 0 AS gold, senses <= 1 OR coalesce(similarity > t / 100.0::DOUBLE, false) AS said FROM sim, range(50, 80, 2) r(t)) GROUP BY threshold ORDER BY accuracy DESC, threshold LIMIT 1", V, SENSES, WIC)),
+    "sense_candidates": (sense_candidates, st("SELECT word, key, row_number() OVER (PARTITION BY word ORDER BY turn, place) - 1 AS nth FROM (SELECT word, key, min(turn) AS turn, arg_min(place, turn) AS place FROM (SELECT * FROM held WHERE place < 10 OR NOT EXISTS (SELECT 1 FROM held h WHERE h.word = held.word AND h.turn = held.turn AND h.place < 10)) GROUP BY ALL)", V, SENSES, KEYS, """
+stems AS (SELECT word, word AS stem, 0 AS turn FROM words UNION ALL SELECT word, lemma, 1 FROM words WHERE lemma <> word),
+held AS (SELECT s.word, s.turn, p.place, k.key FROM stems s, range(0, 11) p(place) JOIN keys k ON k.key = CASE WHEN p.place < 10 THEN s.stem || '_' || p.place ELSE s.stem END)""")),
+    "cased_keys": (cased_keys, st("SELECT DISTINCT w.word, k.key FROM words w, (VALUES (''), ('_0'), ('_1')) e(x) JOIN keys k ON k.key IN (w.word || e.x, upper(left(w.word, 1)) || substr(w.word, 2) || e.x, upper(w.word) || e.x)", V, SENSES, KEYS)),
+    "fallback_vectors": (fallback_norms, st("SELECT w.word, k.x IS NOT NULL AS known, round(CASE WHEN k.x IS NULL THEN u.x[1] ELSE k.x[1] / sqrt(list_inner_product(k.x, k.x)) END, 9) AS first, round(CASE WHEN k.x IS NULL THEN sqrt(list_inner_product(u.x, u.x)) ELSE 1 END, 9) AS length FROM (SELECT DISTINCT word FROM s) w LEFT JOIN (SELECT word, x FROM s WHERE sense = 0 AND n % 3 = 0) k USING (word), (SELECT x FROM s WHERE n = 1 AND sense = 0) u", V, SENSES)),
+    "context_words": (turn_contexts, f"SELECT conv_id, turn, array_to_string(list_filter(ws, lambda w, i: i <> turn % len(ws) + 1 AND w NOT IN ({PUNCT}) AND w NOT IN ({STOPS})), ' ') AS context FROM (SELECT conv_id, turn, regexp_split_to_array(lower(regexp_replace(text, '([.,!?])', ' \\1 ', 'g')), ' +') AS ws FROM conversations)"),
+    "sense_examples": (lambda s, d: (lambda c: sense_ops.examples(c.assigned, c.docs))(corpus.Corpus(s, d)), st("SELECT f.lemma, f.sense_id, f.nth, f.file_id, f.pos, string_agg(t.token, ' ' ORDER BY t.pos) AS example FROM (SELECT *, row_number() OVER (PARTITION BY lemma, sense_id ORDER BY file_id, pos) AS nth FROM assigned QUALIFY nth <= 5) f JOIN tok t ON t.file_id = f.file_id AND t.pos BETWEEN f.pos - 8 AND f.pos + 8 GROUP BY ALL", *corpus.SENSE, corpus.sql.ASSIGNED, recursive=True)),
     "v_measure": (lambda s, d: rounded(evaluation.v_measure(cells(s, d)), "homogeneity", "completeness", "v_measure"), st("SELECT round(h, 9) AS homogeneity, round(k, 9) AS completeness, round(2 * h * k / (h + k), 9) AS v_measure FROM (SELECT 1 - sum(-(n / total) * ln(n / pn)) / sum(-(n / total) * ln(gn / total)) AS h, 1 - sum(-(n / total) * ln(n / gn)) / sum(-(n / total) * ln(pn / total)) AS k FROM c)", CELLS)),
     "paired_fscore": (lambda s, d: evaluation.paired_f_score(cells(s, d)), st("SELECT shared, predicted_pairs, gold_pairs, 2 * shared / (predicted_pairs + gold_pairs) AS f_score FROM (SELECT (SELECT sum(n * (n - 1) // 2)::BIGINT FROM cells) AS shared, (SELECT sum(n * (n - 1) // 2)::BIGINT FROM (SELECT sum(n)::BIGINT AS n FROM cells GROUP BY p)) AS predicted_pairs, (SELECT sum(n * (n - 1) // 2)::BIGINT FROM (SELECT sum(n)::BIGINT AS n FROM cells GROUP BY g)) AS gold_pairs)", CELLS)),
     "b_cubed": (lambda s, d: rounded(evaluation.b_cubed(cells(s, d)), "precision", "recall", "f_score"), st("SELECT round(p, 9) AS precision, round(r, 9) AS recall, round(2 * p * r / (p + r), 9) AS f_score FROM (SELECT sum(n * n / pn) / max(total) AS p, sum(n * n / gn) / max(total) AS r FROM c)", CELLS)),
