@@ -44,26 +44,35 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def two_decimals(x: Column) -> Column:
-    """A number from 0 to 1 rounded to two decimals as its binary value says, ties to the even digit; as text without trailing zeros (0.12, 0.5, 1.0)."""
+    """A number from 0 to 1 rounded to two decimals as its binary value says, ties to the even digit; as text (0.12, 0.50, 1.00)."""
     whole = (x * float(1 << 60)).cast("long").cast("decimal(38,0)") * 100  # exact: a double has 53 bits
     q = F.floor(whole / F.lit(1 << 60).cast("decimal(38,0)")).cast("decimal(38,0)")
     rest, half = whole - q * F.lit(1 << 60).cast("decimal(38,0)"), F.lit(1 << 59).cast("decimal(38,0)")
     up = (rest > half) | ((rest == half) & (q % 2 == 1))
-    return ((q + F.when(up, 1).otherwise(0)).cast("double") / 100).cast("string")
+    digits = (q + F.when(up, 1).otherwise(0)).cast("long")
+    return F.concat(F.floor(digits / 100).cast("string"), F.lit("."), F.lpad((digits % 100).cast("string"), 2, "0"))
 
 
-def greedy_packs(sizes: Column, cap: int) -> Column:
-    """Pack number of each item when consecutive items share a pack up to ``cap``; an oversize item has a pack of its own.
+def pack_starts(sizes: Column, cap: int) -> Column:
+    """Places (from 0) at which packs start when consecutive items share a pack up to ``cap``; an oversize item has a pack of its own.
 
-    A pack closes when it holds an item and the next one would exceed the cap, so items of size zero before an oversize one form a pack too.
+    A pack closes when it holds an item and the next one would exceed the cap, so items of size zero before an oversize one form a pack too. The list grows by pack, not by item.
     """
-    start = F.struct(F.array().cast("array<int>").alias("packs"), F.lit(0).alias("pack"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("n"))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).cast("long").alias("total"))
 
     def step(state: Column, size: Column) -> Column:
-        new = (state["n"] > 0) & (state["total"] + size > cap)
-        pack = F.when(new, state["pack"] + 1).otherwise(state["pack"])
-        return F.struct(
-            F.concat(state["packs"], F.array(pack)).alias("packs"), pack.alias("pack"), F.when(new, size).otherwise(state["total"] + size).cast("long").alias("total"), F.when(new, 1).otherwise(state["n"] + 1).alias("n")
-        )
+        new = (state["at"] == 0) | (state["total"] + size > cap)
+        starts = F.when(new, F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"])
+        return F.struct(starts.alias("starts"), (state["at"] + 1).alias("at"), F.when(new, size).otherwise(state["total"] + size).cast("long").alias("total"))
+
+    return F.aggregate(sizes, start, step, lambda s: s["starts"])
+
 
-    return F.aggregate(sizes, start, step, lambda s: s["packs"])
+def packs_of(items: Column, starts: Column) -> Column:
+    """The items of each pack, as an array of arrays."""
+    return F.transform(starts, lambda s, i: F.slice(items, s + 1, F.coalesce(F.get(starts, i + 1), F.size(items)) - s))
+
+
+def greedy_packs(sizes: Column, cap: int) -> Column:
+    """Pack number of each item; see :func:`pack_starts` for the rule."""
+    return let(pack_starts(sizes, cap), lambda starts: F.flatten(F.transform(packs_of(sizes, starts), lambda p, i: F.array_repeat(i, F.size(p)))))

@@ -160,8 +160,10 @@ def _degrees(near: list[dict[int, float]]) -> np.ndarray:
     return np.array([sum(x.values()) + x.get(i, 0.0) for i, x in enumerate(near)])
 
 
-def louvain_labels(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = SEED) -> np.ndarray:
-    """Louvain communities: local moving, then the same on the graph of communities, until nothing moves."""
+def louvain_labels(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = SEED, refine: bool = False) -> np.ndarray:
+    """Louvain communities: local moving, then the same on the graph of communities, until nothing moves; with ``refine`` those of :func:`leiden_labels`."""
+    if refine:
+        return leiden_labels(n, u, v, w, resolution, seed)
     rng = np.random.RandomState(seed)
     label, total, near = np.arange(n), float(w.sum()), _start(n, u, v, w)
     while True:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from senseloom.functions.arrays import greedy_packs, let
+from senseloom.functions.arrays import greedy_packs, let, pack_starts, packs_of
 from senseloom.functions.stopwords import STOP_WORDS
 
 PIECE = 8
@@ -120,9 +120,9 @@ def split_sentences(text: Column) -> Column:
 def pack_sentences(docs: DataFrame, cap: int = 512) -> DataFrame:
     """Pack sentences of each section (line) of a document up to ``cap`` words, joined with a space: doc_id, section, offset, text. All in one row's arrays."""
     sections = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("section", "line")).select("doc_id", F.col("section").cast("long").alias("section"), split_sentences(F.col("line")).alias("sents"))
-    packed = sections.withColumn("packs", greedy_packs(F.transform("sents", lambda s: F.size(F.split(s, " ")).cast("long")), cap))
-    texts = F.transform(F.array_distinct("packs"), lambda p: F.struct(p.cast("long").alias("offset"), F.array_join(F.filter("sents", lambda s, i: F.get("packs", i) == p), " ").alias("text")))
-    return packed.select("doc_id", "section", F.explode(texts).alias("p")).select("doc_id", "section", "p.offset", "p.text")
+    packs = let(pack_starts(F.transform("sents", lambda s: F.size(F.split(s, " ")).cast("long")), cap), lambda starts: packs_of(F.col("sents"), starts))
+    texts = F.transform(packs, lambda p, i: F.struct(i.cast("long").alias("offset"), F.array_join(p, " ").alias("text")))
+    return sections.select("doc_id", "section", F.explode(texts).alias("p")).select("doc_id", "section", "p.offset", "p.text")
 
 
 def detokenise(text: Column) -> Column:

@@ -305,7 +305,7 @@ pair AS (SELECT x.name AS x, y.name AS y, len(list_intersect(x.tokens, y.tokens)
     "community_descriptions": (lambda c: senses.community_descriptions(senses.argmax(c.votes), c.stage), st("SELECT *, row_number() OVER (PARTITION BY lemma, community ORDER BY cnt DESC, token) AS rank FROM (SELECT lemma, community, s.sub AS token, count(*) AS cnt FROM best b JOIN subs s USING (lemma, file_id, pos) GROUP BY ALL) QUALIFY rank <= 10", *COMM, recursive=True)),
     "assign_senses": (lambda c: c.assigned, st("SELECT lemma, file_id, pos, sense_id, shared, total, score FROM assigned", *SENSE, sql.ASSIGNED, recursive=True)),
     "aligned_senses": (lambda c: senses.aligned(c.tokens, c.assigned), st("SELECT t.file_id, t.pos, coalesce(a.sense_id, -1) AS sense_id FROM tok t LEFT JOIN assigned a USING (file_id, pos)", *SENSE, sql.ASSIGNED, recursive=True)),
-    "positions_by_sense": (lambda c: senses.positions_by_sense(c.assigned).select("lemma", "sense_id", "file_id", F.col("found").alias("positions")), st("SELECT lemma, sense_id, file_id, string_agg(pos || ',' || format('{:.2f}', score)::DOUBLE::VARCHAR, ' ' ORDER BY pos) AS positions FROM assigned GROUP BY ALL", *SENSE, sql.ASSIGNED, recursive=True)),
+    "positions_by_sense": (lambda c: senses.positions_by_sense(c.assigned).select("lemma", "sense_id", "file_id", F.col("found").alias("positions")), st("SELECT lemma, sense_id, file_id, string_agg(pos || ',' || format('{:.2f}', score), ' ' ORDER BY pos) AS positions FROM assigned GROUP BY ALL", *SENSE, sql.ASSIGNED, recursive=True)),
     "retrieve_by_sense": (lambda c: senses.retrieve(c.assigned, c.inventory.where(F.col("sense_id") == 1)).select("lemma", "sense_id", "file_id", "pos"), st(f"SELECT lemma, sense_id, file_id, pos FROM assigned WHERE sense_id = 1", *SENSE, sql.ASSIGNED, recursive=True)),
     "sense_histogram": (lambda c: senses.histogram(c.assigned, c.inventory), st("SELECT s.lemma, s.sense_id, s.lemma || ' ' || string_agg(s.token, ' ' ORDER BY s.rank) AS label, any_value(coalesce(a.n, 0)) AS n FROM sense s LEFT JOIN (SELECT lemma, sense_id, count(*) AS n FROM assigned GROUP BY ALL) a USING (lemma, sense_id) WHERE s.rank <= 4 GROUP BY s.lemma, s.sense_id", *SENSE, sql.ASSIGNED, recursive=True)),
     "sense_signatures": (lambda c: link.signatures(c.inventory).select(link.name().alias("sense"), F.explode("tokens").alias("token")), st("SELECT sense, token FROM sig", *SENSE, sql.LINKS, recursive=True)),

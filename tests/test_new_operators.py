@@ -240,4 +240,4 @@ def test_stored_index_reads_one_bucket_and_joins_without_a_shuffle(spark, tmp_pa
 def test_scores_are_rounded_like_their_binary_values(spark):
     values = [i / n for n in range(1, 111) for i in range(n + 1)]
     found = spark.createDataFrame([(v,) for v in values], "x double").select("x", two_decimals(F.col("x")).alias("t")).collect()
-    assert all(r["t"] == str(round(r["x"], 2)) for r in found)
+    assert all(r["t"] == f"{r['x']:.2f}" for r in found)
