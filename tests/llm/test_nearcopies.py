@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from senseloom.llm import nearcopies
+from senseloom.llm.components import components
 
 
 def brute(text):
@@ -50,3 +52,21 @@ def test_large_family_and_exact_copies(spark):
 def test_shingles_count_like_strings():
     for text in (None, "", "a", "a b c d e", "a b c d e f", "A b a b a b a b a b", "x " * 3000):
         assert len(nearcopies.shingles(text)) == len(brute(text))
+
+
+@pytest.mark.parametrize("hot", [10_000, 40])
+def test_a_frequent_band_loses_no_text_at_wide_bands(spark, hot):
+    """Bands as wide as those of 30 million texts; with ``hot`` 40 the family shares frequent values, which are divided by the next band's."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 240)]
+    texts = [" ".join(base), *(edited(rng, base, int(n)) for n in rng.integers(1, 6, 250))]
+    others = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 240)) for _ in range(50)]
+    width, _, most = nearcopies.layout(30_000_000)
+    bands = int(np.ceil(np.log(1 - nearcopies.RECALL) / np.log(1 - (1 - np.arccos(8 / 9) / np.pi) ** width)))
+    assert width == 20
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *others])], "text_hash long, text string")
+    signed = nearcopies.signatures(frame, width, bands)
+    links = nearcopies.candidate_links(signed, frame.count(), bands, most, hot_rows=hot)
+    found = {r["node"]: r["root"] for r in components(nearcopies.exact_links(components(links), frame)).collect()}
+    assert sum(found.get(i) == 0 for i in range(len(texts))) == len(texts)
+    assert not any(i in found for i in range(len(texts), len(texts) + len(others)))
