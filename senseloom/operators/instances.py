@@ -65,10 +65,11 @@ def index_by_target(paragraphs: DataFrame, lemma_parts: int = 1) -> DataFrame:
 def index_by_occurrence(tokens: DataFrame, instances: DataFrame) -> DataFrame:
     """Position of each instance's target: (inst_id, lemma, file_id, pos) from tokens (file_id, doc_id, pos, token) and instances (inst_id, doc_id, target, which).
 
-    The target is occurrence number ``which`` (from 0) of the token in its document.
+    The target is occurrence number ``which`` (from 0) of the token in its document. A target of several pieces is looked up by the first piece of its lemma, the inst_id's first part.
     """
+    piece = single_piece(F.col("target"), F.substring_index("inst_id", ".", 1))
     numbered = tokens.withColumn("which", F.row_number().over(Window.partitionBy("file_id", "doc_id", "token").orderBy("pos")).cast("long") - 1)
-    return numbered.join(instances.withColumnRenamed("target", "token"), ["doc_id", "token", "which"]).select("inst_id", F.substring_index("inst_id", ".", 2).alias("lemma"), "file_id", "pos")
+    return numbered.join(instances.withColumn("token", piece).drop("target"), ["doc_id", "token", "which"]).select("inst_id", F.substring_index("inst_id", ".", 2).alias("lemma"), "file_id", "pos")
 
 
 def single_piece(target: Column, lemma: Column) -> Column:

@@ -13,6 +13,9 @@ def rows(df, *columns):
 def test_instances(spark):
     targets = spark.createDataFrame([("Play", "play"), ("playgrounds", "playground"), ("is n't", "be"), ("", "be")], "target string, lemma string")
     assert rows(targets.select(instances.single_piece(F.col("target"), F.col("lemma")).alias("p")), "p") == [("be",), ("be",), ("play",), ("playgrou",)]
+    tokens = spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(["give", "it", "up", "give"])], "file_id long, doc_id long, pos long, token string")
+    asked = spark.createDataFrame([("give.v.1", 1, "gave up", 1), ("it.n.2", 1, "It", 0)], "inst_id string, doc_id long, target string, which long")
+    assert rows(instances.index_by_occurrence(tokens, asked), "inst_id", "pos") == [("give.v.1", 3), ("it.n.2", 1)]
     words = spark.createDataFrame([("one",), ("two",)], "word string")
     assert instances.require_single_pieces(words) is words
     with pytest.raises(ValueError, match="extraordinary"):
