@@ -35,11 +35,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def windows_least(hashes: Column, w: int) -> Column:
-    """Least of each window, by windows of doubled width; the ends where fewer follow are cut off."""
+    """Least of each window, by windows of doubled width; the ends where fewer follow are cut off. Equal ones stand next to each other: the last of them stays."""
 
     def widen(m: Column, width: int) -> Column:
         if width == w:
-            return F.slice(m, F.lit(1), F.greatest(F.lit(1), F.size(m) - (w - 1)))
+            return let(F.slice(m, F.lit(1), F.greatest(F.lit(1), F.size(m) - (w - 1))), lambda x: F.filter(x, lambda v, i: ~v.eqNullSafe(F.get(x, i + 1))))
         by = min(width, w - width)
         return let(F.transform(m, lambda a, i: F.least(a, F.get(m, i + by))), lambda x: widen(x, width + by))
 
@@ -52,7 +52,7 @@ def rolled(codes: Column, k: int, keep: Callable[[Column, Column], Column]) -> C
     def roll(width: int, then: Callable[[Column], Column], keep: Callable[[Column, Column], Column]) -> Column:
         """The hash of ``width`` codes from that of the first of them and of the last ``by``: by halves, of an odd number by one code more."""
         if width == 1:
-            return then(F.transform(codes, keep))
+            return then(F.transform(codes, keep) if k == 1 else codes)
         by = 1 if width % 2 else width // 2
         pair = lambda a, b: (a * F.lit(pow(BASE, by, PRIME)) + b) % F.lit(PRIME)
         return roll(width - by, lambda h: let(F.transform(h, lambda a, i: keep(pair(a, F.get(codes if by == 1 else h, i + (width - by))), i)), then), lambda h, i: h)
@@ -71,7 +71,7 @@ def choices(text: Column, k: int = K, w: int = W) -> Column:
 
     def chosen(codes: Column) -> Column:
         short = F.array(pack(F.aggregate(codes, F.lit(1).cast("long"), lambda h, c: (h * F.lit(BASE) + c) % F.lit(PRIME)), F.lit(0)))
-        grams = let(rolled(codes, k, pack), lambda h: F.array_distinct(windows_least(h, w)))
+        grams = let(rolled(codes, k, pack), lambda h: windows_least(h, w))
         return F.when(F.size(codes) >= k, grams).otherwise(short)
 
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
@@ -114,7 +114,7 @@ def hash_set(chosen: Column) -> Column:
 
 def as_text(chosen: Column) -> Column:
     """hash@position, comma-joined."""
-    return F.array_join(F.transform(chosen, lambda v: F.concat(F.lower(F.hex(F.shiftright(v, 31))), F.lit("@"), (LAST - v.bitwiseAND(LAST)).cast("string"))), ",")
+    return F.lower(F.array_join(F.transform(chosen, lambda v: F.concat(F.hex(F.shiftright(v, 31)), F.lit("@"), (LAST - v.bitwiseAND(LAST)).cast("string"))), ","))
 
 
 def likeness(a: Column, b: Column) -> Column:
