@@ -1,9 +1,12 @@
-"""Approximate nearest neighbours by inner product: an inverted file with product-quantised residuals and exact reranking.
+"""Nearest neighbours by inner product: an inverted file with product-quantised residuals and exact reranking.
 
-Coarse centroids and residual codebooks are fitted on a bounded sample, and so is the number of lists that a query visits: it is measured there, as what holds the
-wanted share of the true neighbours of some sample rows. Every row is then indexed (list, code). Lists whose centroids lie together form groups of bounded size; a very
-long list is cut into chunks, so it is many tasks. A query is sent once to each group that holds some of its nearest lists; there the rows of these lists, and no others, are scored
-by asymmetric distance tables (one look-up per subspace), and the best are reranked at once with their original vectors in double precision, so only the nearest of each group travel on.
+Coarse centroids and residual codebooks are fitted on a bounded sample. Every row is then indexed (list, code), with the distance between the row and what its code stands for; of each list the
+largest distance of a row from the centroid is known. So no list and no row is left out by a measured share, which would hold only for rows like those that it was measured on: a query visits every list
+that can hold a neighbour as near as its k-th in the sample, and there every row is reranked that its code does not rule out. What is found is exact, whatever the rows.
+
+Lists whose centroids lie together form groups of bounded size; a very long list is cut into chunks, so it is many tasks. A query is sent once to each group that holds some of its lists; there the rows of
+these lists, and no others, are scored by asymmetric distance tables (one look-up per subspace). The best are reranked at once with their original vectors in double precision, then those whose
+score with the code's error reaches the k-th of these, so only the nearest of each group travel on. Rows that repeat one vector count as one in the scores and are taken in order of their ids.
 """
 
 from __future__ import annotations
@@ -26,9 +29,8 @@ MOST_LISTS = 4_096
 #: Rows of a group (a list of more is cut), queries that meet them in one task, and into how many groups a small table is cut.
 TILE_ROWS = 131_072
 GROUPS = 12
-#: Share of true neighbours that the visited lists are to hold, and the rows of the sample that measure it.
-HELD = 0.95
-MEASURED = 256
+#: Rounding of double precision in a sum of products, relative to the lengths, with room to spare.
+SLACK = 1e-9
 SHORTLIST = 200
 SUBSPACES = 16
 CODES = 256
@@ -83,30 +85,32 @@ class Index:
         bounds = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
         return cls(lists, scale, [kmeans(rest[:, a:b], CODES, 8, rng) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], bounds)
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        home = nearest(x, self.lists)
-        rest = (x - self.lists[home]) / self.scale[home][:, None]
-        return home, np.stack([nearest(rest[:, a:b], book) for a, b, book in zip(self.bounds[:-1], self.bounds[1:], self.codebooks, strict=True)], 1).astype(np.uint8)
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row (in double precision) its list, its code, and bounds of its distances from the list's centroid and from what the code stands for."""
+        home = nearest(x.astype(np.float32), self.lists)
+        centre = self.lists[home].astype(np.float64)
+        rest = (x - centre) / self.scale[home][:, None]
+        parts = [nearest(rest[:, a:b].astype(np.float32), book) for a, b, book in zip(self.bounds[:-1], self.bounds[1:], self.codebooks, strict=True)]
+        coded = np.concatenate([book[i] for book, i in zip(self.codebooks, parts, strict=True)], 1).astype(np.float64) * self.scale[home][:, None]
+        size = SLACK * (length(x) + length(centre) + length(coded))
+        return home, np.stack(parts, 1).astype(np.uint8), length(x - centre) + size, length(x - centre - coded) + size
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Of each query the inner products with all codes of all subspaces, in a row."""
-        return np.concatenate([q[:, a:b] @ np.pad(book, ((0, CODES - len(book)), (0, 0))).T for a, b, book in zip(self.bounds[:-1], self.bounds[1:], self.codebooks, strict=True)], 1)
+        return np.concatenate([q[:, a:b] @ np.pad(book, ((0, CODES - len(book)), (0, 0))).T.astype(np.float64) for a, b, book in zip(self.bounds[:-1], self.bounds[1:], self.codebooks, strict=True)], 1)
+
+
+def length(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(1))
 
-    def probes(self, sample: np.ndarray, k: int, held: float = HELD, measured: int = MEASURED) -> int:
-        """How many of its nearest lists hold ``held`` of the ``k`` true neighbours of a row, measured on rows of the sample.
 
-        A larger table's neighbours are nearer than a sample's, so they are held sooner.
-        """
-        q = sample[:measured]
-        near = q @ sample.T
-        near[np.arange(len(q)), np.arange(len(q))] = -np.inf
-        k = min(k, len(sample) - 1)
-        if k < 1:
-            return len(self.lists)
-        true = np.argpartition(-near, k - 1, 1)[:, :k]
-        rank = np.argsort(np.argsort(-(q @ self.lists.T), 1, kind="stable"), 1)
-        need = np.sort(np.take_along_axis(rank, nearest(sample, self.lists)[true], 1).ravel())
-        return int(need[int(np.ceil(held * len(need))) - 1]) + 1
+def floor_of(q: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray, k: int) -> np.ndarray:
+    """Of each query the score of its k-th nearest row of the sample, itself left out: its k-th nearest of all rows scores no less."""
+    if len(sample) <= k:
+        return np.full(len(q), -np.inf)
+    score = q @ sample.T
+    score[ids[:, None] == sample_ids] = -np.inf
+    return np.partition(score, len(sample) - k, 1)[:, len(sample) - k] - SLACK * length(q) * length(sample).max()
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float32) -> np.ndarray:
@@ -123,6 +127,15 @@ def best(score: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, equal[: n - len(above)]])
 
 
+def early(x: np.ndarray, n: int) -> np.ndarray:
+    """Mark the first ``n`` rows of each group of equal rows of one list: later copies can be nobody's neighbours. Rows come by list and id, and equal rows share a list."""
+    _, which, count = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True, return_counts=True)
+    order = np.argsort(which, kind="stable")
+    nth = np.empty(len(x), np.int64)
+    nth[order] = np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+    return nth < n
+
+
 def deal(lists: np.ndarray, sizes: np.ndarray, most: int) -> list[list[int]]:
     """Give each list a group of about ``most`` rows, near lists the same one; a list of more rows gets several groups, each for a part of its rows.
 
@@ -147,12 +160,11 @@ def deal(lists: np.ndarray, sizes: np.ndarray, most: int) -> list[list[int]]:
     return out
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, held: float = HELD, shortlist: int = SHORTLIST, sample_rows: int = SAMPLE_ROWS, tile_rows: int = TILE_ROWS, seed: int = SEED) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, shortlist: int = SHORTLIST, sample_rows: int = SAMPLE_ROWS, tile_rows: int = TILE_ROWS, seed: int = SEED) -> DataFrame:
     """The ``k`` nearest of each query row among all other rows: query_id, rank (from 1), vec_id, score (inner product in double precision).
 
     ``vectors`` has vec_id and embedding, ``is_query`` selects queries by vec_id. See :func:`usable` for the rows that take part; an empty table gives no rows. Ties go
-    to the smaller vec_id, in the shortlists too, so copies of one vector are taken in order of their ids. Columns other than those two are ignored. A query visits its nearest lists: as many
-    as hold the share ``held`` of true neighbours in the sample (:meth:`Index.probes`), and more until they hold 10 * k rows. ``shortlist`` rows are reranked in each group.
+    to the smaller vec_id. Columns other than those two are ignored. ``shortlist`` rows are reranked first in each group; how many follow depends on how finely the codes tell the rows apart.
 
     A group's vectors are copied once for each ``tile_rows`` queries; a task then scores up to that many rows for that many queries, so the copies are
     small beside the work.
@@ -162,34 +174,38 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, held: float = HELD
     n, asked = rows.count(), rows.where(is_query).count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = matrix(rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).select("v").toArrow().column("v"))
-    index = Index.fit(sample, n, seed=seed)
-    probes = index.probes(sample, k, held)
-    sent = spark.sparkContext.broadcast(index)
     vector = rows.schema["v"].dataType.simpleString()
     kind = np.float32 if vector == "array<float>" else np.float64
+    drawn = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(sample_rows).toArrow()
+    sample = matrix(drawn.column("v"), kind)
+    sent = spark.sparkContext.broadcast(Index.fit(sample.astype(np.float32), n, seed=seed))
+    known = spark.sparkContext.broadcast((drawn.column("vec_id").to_numpy(), sample))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                home, codes = sent.value.encode(matrix(b.column("v")))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(home.astype(np.int32)), pa.array(list(map(bytes, codes)), pa.binary())], names=["vec_id", "v", "list", "code"])
-
-    coded = materialize(rows.mapInArrow(encode, f"vec_id long, v {vector}, list int, code binary"), "codes")
-    counted = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list
-    sizes = np.array([counted.get(i, 0) for i in range(len(index.lists))])
-    group_of = deal(index.lists, sizes, max(1, min(tile_rows, -(-n // GROUPS))))
+                home, codes, reach, error = sent.value.encode(matrix(b.column("v"), np.float64))
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(home.astype(np.int32)), pa.array(list(map(bytes, codes)), pa.binary()), pa.array(reach), pa.array(error)], names=["vec_id", "v", "list", "code", "reach", "error"])
+
+    coded = materialize(rows.mapInArrow(encode, f"vec_id long, v {vector}, list int, code binary, reach double, error double"), "codes")
+    counted = {r["list"]: r for r in coded.groupBy("list").agg(F.count("*").alias("n"), F.max("reach").alias("reach")).collect()}  # a row per list
+    lists = sent.value.lists
+    sizes = np.array([counted[i]["n"] if i in counted else 0 for i in range(len(lists))])
+    reaches = np.array([counted[i]["reach"] if i in counted else 0.0 for i in range(len(lists))])
+    group_of = deal(lists, sizes, max(1, min(tile_rows, -(-n // GROUPS))))
     parts = max(1, -(-asked // tile_rows))
-    plan = spark.sparkContext.broadcast((sizes, group_of))
+    plan = spark.sparkContext.broadcast((sizes, reaches, group_of))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = plan.value[1]
+        groups = plan.value[2]
         for b in batches:
             group = [groups[i][h % len(groups[i])] for i, h in zip(b.column("list").to_pylist(), b.column("h").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), *(b.column(c) for c in ("vec_id", "v", "list", "code"))], names=["group", "vec_id", "v", "list", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), *(b.column(c) for c in ("vec_id", "v", "list", "code", "error"))], names=["group", "vec_id", "v", "list", "code", "error"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, groups = plan.value
+        size, reach, groups = plan.value
+        sample_ids, sample = known.value[0], known.value[1].astype(np.float64)
+        centres = sent.value.lists.astype(np.float64)
         holds = np.zeros((1 + max(max(x) for x in groups), len(size)), bool)
         for i, x in enumerate(groups):
             holds[x, i] = size[i] > 0
@@ -197,42 +213,46 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, held: float = HELD
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 b = whole.slice(a, 512)
-                order = np.argsort(-(matrix(b.column("v")) @ sent.value.lists.T), 1, kind="stable")
-                before = np.cumsum(size[order], 1) - size[order]
-                wanted = np.zeros(order.shape, bool)
-                np.put_along_axis(wanted, order, (np.arange(order.shape[1]) < probes) | (before < 10 * k), 1)
+                q = matrix(b.column("v"), np.float64)
+                floor = floor_of(q, b.column("vec_id").to_numpy(), sample, sample_ids, k)
+                wanted = ~(q @ centres.T + length(q)[:, None] * reach < floor[:, None])  # what cannot be compared is visited
                 for g in used:
                     here = wanted & holds[g]
                     who = np.flatnonzero(here.any(1))
                     if not len(who):
                         continue
                     lists = [np.flatnonzero(x).astype(np.int16) for x in here[who]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), g, np.int32)), b.column("vec_id").take(pa.array(who)), b.column("v").take(pa.array(who)), pa.array(lists, pa.list_(pa.int16()))], names=["group", "query_id", "q", "lists"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), g, np.int32)), b.column("vec_id").take(pa.array(who)), b.column("v").take(pa.array(who)), pa.array(floor[who]), pa.array(lists, pa.list_(pa.int16()))], names=["group", "query_id", "q", "floor", "lists"])
 
     part = F.pmod(F.xxhash64(F.lit(seed), "query_id"), F.lit(parts)).cast("int")
-    visits = rows.where(is_query).select("vec_id", "v").mapInArrow(visit, f"group int, query_id long, q {vector}, lists array<smallint>").withColumn("part", part)
-    stored = coded.withColumn("h", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))).mapInArrow(place, f"group int, vec_id long, v {vector}, list int, code binary")
+    visits = rows.where(is_query).select("vec_id", "v").mapInArrow(visit, f"group int, query_id long, q {vector}, floor double, lists array<smallint>").withColumn("part", part)
+    stored = coded.withColumn("h", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))).mapInArrow(place, f"group int, vec_id long, v {vector}, list int, code binary, error double")
     stored = stored.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def scan(asked: pa.Table, stored: pa.Table) -> pa.Table:
         found = []
         if stored.num_rows and asked.num_rows:
             stored = stored.sort_by([("list", "ascending"), ("vec_id", "ascending")])
-            ids, home, v = stored.column("vec_id").to_numpy(), stored.column("list").to_numpy(), matrix(stored.column("v"), kind)
+            v = matrix(stored.column("v"), kind)
+            stored, v = stored.filter(pa.array(first := early(v, k + 1))), v[first]
+            ids, home, error = (stored.column(c).to_numpy() for c in ("vec_id", "list", "error"))
             codes = np.frombuffer(b"".join(stored.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
             look = codes + np.arange(codes.shape[1], dtype=np.int32) * CODES
+            scale = sent.value.scale.astype(np.float64)[home]
             starts = np.searchsorted(home, np.arange(len(sent.value.lists) + 1))
             for a in range(0, asked.num_rows, 256):
                 some = asked.slice(a, 256)
-                q, exact, who = matrix(some.column("q")), matrix(some.column("q"), np.float64), some.column("query_id").to_pylist()
-                tables, centres = sent.value.tables(q), q @ sent.value.lists.T
+                q, floor, who = matrix(some.column("q"), np.float64), some.column("floor").to_numpy(), some.column("query_id").to_pylist()
+                tables, centres = sent.value.tables(q), q @ sent.value.lists.T.astype(np.float64)
                 for i, lists in enumerate(some.column("lists").to_pylist()):
                     rows = np.concatenate([np.arange(starts[j], starts[j + 1]) for j in lists])
-                    score = tables[i][look[rows]].sum(1) * sent.value.scale[home[rows]] + centres[i][home[rows]]
-                    score[ids[rows] == who[i]] = -np.inf
-                    top = best(score, shortlist)
-                    top = rows[top[score[top] > -np.inf]]
-                    inner = (v[top] * exact[i]).sum(1)
+                    rows = rows[ids[rows] != who[i]]
+                    score = tables[i][look[rows]].sum(1) * scale[rows] + centres[i][home[rows]]
+                    top = rows[best(score, shortlist)]
+                    near = (v[top] * q[i]).sum(1)
+                    least = max(floor[i], np.partition(near, len(near) - k)[len(near) - k]) if len(near) >= k else floor[i]
+                    top = np.union1d(top, rows[~(score + np.sqrt((q[i] ** 2).sum()) * error[rows] < least)])
+                    inner = np.concatenate([(v[top[c : c + 4096]] * q[i]).sum(1) for c in range(0, len(top), 4096)]) if len(top) else np.zeros(0)
                     order = np.lexsort((ids[top], -inner))[:k]
                     found.append((np.full(len(order), who[i]), ids[top][order], inner[order]))
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
