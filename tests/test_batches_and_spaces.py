@@ -17,7 +17,7 @@ def test_a_batch_replaces_files_that_it_leaves_empty(spark):
 
 
 def test_sentences_end_at_spaces_of_every_kind(spark):
-    spaces = "        　"
+    spaces = [" ", *map(chr, (0xA0, 0x1680, 0x2000, 0x2003, 0x200A, 0x202F, 0x205F, 0x3000))]
     lines = [f"{s}One.  Two!{s} {s}" for s in spaces] + ["  　", "\tOne. \t", "​One.​"]
     frame = spark.createDataFrame([(x,) for x in lines], "line string")
     got = [r["s"] for r in frame.select(text.split_sentences(F.col("line")).alias("s")).collect()]
