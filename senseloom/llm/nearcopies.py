@@ -28,7 +28,7 @@ RECALL = 0.99
 BEYOND = 2.5
 #: Words of 64 bits whose differences are counted.
 NEAR_WORDS = 2
-#: Entries of the index in one task; entries of one band value beyond which the next band's value must agree too.
+#: Entries of the index in one task; entries of one band value beyond which it is cut into parts that meet in pairs.
 BLOCK_ROWS = 20_000
 HOT_ROWS = 10_000
 #: Texts of a group that are compared in one task, and rows of small groups that share one.
@@ -93,17 +93,21 @@ def signatures(texts: DataFrame, width: int, bands: int) -> DataFrame:
 def candidate_links(signed: DataFrame, texts: int, bands: int, most: int, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Links (u, v) that join all texts which share a band's value and differ in at most ``most`` of the further bits, as spanning forests of blocks.
 
-    A band value that more than ``hot_rows`` texts share is divided by the next band's value: such texts are many copies of one another and meet under many bands.
+    A band value that more than ``hot_rows`` texts share is cut into parts of about that many, and each pair of parts is a group of its own: a text travels once for each part, and every two texts of the
+    value meet.
     """
-    value = F.transform("keys", lambda v, i: F.struct(i.alias("band"), v.alias("value"), F.get("keys", (i + 1) % bands).alias("next")))
+    value = F.transform("keys", lambda v, i: F.struct(i.alias("band"), v.alias("value")))
     entries = signed.select("text_hash", "near", F.explode(value).alias("e")).select("text_hash", "near", "e.*")
-    hot = materialize(entries.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("band", "value", F.lit(True).alias("hot")), "hot")
-    key = F.xxhash64("band", "value")
+    counted = entries.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+    hot = materialize(counted.select("band", "value", "n", F.ceil(F.col("n") / hot_rows).cast("int").alias("parts")), "hot")
+    key, n = F.xxhash64("band", "value"), texts * bands
     if held := hot.count():
-        entries = entries.join(maybe_broadcast(hot, held), ["band", "value"], "left")
-        key = F.when(F.col("hot"), F.xxhash64("band", "value", "next")).otherwise(key)
+        n += hot.agg(F.sum(F.col("n") * (F.col("parts") - 1))).first()[0]
+        parts = F.coalesce("parts", F.lit(1))
+        entries = entries.join(maybe_broadcast(hot.drop("n"), held), ["band", "value"], "left").withColumn("own", F.pmod(F.xxhash64("text_hash"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        key = F.when(F.col("parts").isNull(), key).otherwise(F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other")))
     keyed = entries.select("text_hash", key.alias("key"), *(F.col("near")[i].alias(f"n{i}") for i in range(NEAR_WORDS)))
-    placed = keyed.withColumn("block", F.pmod("key", F.lit(max(1, -(-texts * bands // block_rows)))).cast("int"))
+    placed = keyed.withColumn("block", F.pmod("key", F.lit(max(1, -(-n // block_rows)))).cast("int"))
 
     def link(block: pd.DataFrame) -> pd.DataFrame:
         codes = block[["key", *(f"n{i}" for i in range(NEAR_WORDS))]].to_numpy(np.int64).view(np.uint64)
