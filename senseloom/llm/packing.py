@@ -22,8 +22,10 @@ from senseloom.llm.common import materialize, slices
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids a Python worker remembers; the memory is cleared when it is full.
-CACHE_WORDS = 400_000
+#: Words whose ids a Python worker remembers, at least the last so many and at most twice as many; and as many tokens of words that are not letters alone.
+CACHE_WORDS = 100_000
+#: Bytes of text that are tokenized at once.
+SLICE = 4 << 20
 #: Pieces of one length are numbered in buckets of about so many.
 BUCKET_ROWS = 50_000
 
@@ -35,6 +37,28 @@ _TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETT
 _ODD = "[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{130}]|[^\\x{0}-\\x{24f}]|<\\|"
 
 
+class Recent:
+    """What was asked for last: a full generation becomes the older one, and what is found there moves on, so frequent keys stay and rare ones go."""
+
+    def __init__(self):
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def get(self, key: str) -> tuple[int, ...] | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: tuple[int, ...]) -> None:
+        if len(self.new) >= CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+    def __len__(self) -> int:
+        return len(self.new) + len(self.old)
+
+
 class WordTokenizer:
     """Ids of texts by a word-level BPE file. Each distinct word of a batch is tokenized once and remembered."""
 
@@ -46,23 +70,22 @@ class WordTokenizer:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in set(plain)]
         self.bytes_to_chars = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.tokens: dict[str, tuple[int, ...]] = {}
+        self.words, self.tokens = Recent(), Recent()
+
+    def _ids(self, token: str) -> tuple[int, ...]:
+        known = token if token.isascii() and token.isalnum() else token.encode().decode("latin-1").translate(self.bytes_to_chars)
+        return tuple([x.id for x in self.model.tokenize(known)])
 
     def _token(self, token: str) -> tuple[int, ...]:
         ids = self.tokens.get(token)
         if ids is None:
-            known = token if token.isascii() and token.isalnum() else token.encode().decode("latin-1").translate(self.bytes_to_chars)
-            ids = self.tokens[token] = tuple([x.id for x in self.model.tokenize(known)])
+            self.tokens.put(token, ids := self._ids(token))
         return ids
 
     def _word(self, word: str) -> tuple[int, ...]:
         ids = self.words.get(word)
         if ids is None:
-            if len(self.words) >= CACHE_WORDS or len(self.tokens) >= CACHE_WORDS:
-                self.words.clear()
-                self.tokens.clear()
-            ids = self.words[word] = self._token(word) if word.isalpha() else tuple([i for t in _TOKEN.findall(word) for i in self._token(t)])
+            self.words.put(word, ids := self._ids(word) if word.isalpha() else tuple([i for t in _TOKEN.findall(word) for i in self._token(t)]))
         return ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,9 +124,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end
     last = pa.list_(pa.int32()) if emit == "ids" else pa.int64()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what an earlier task of this worker has left
         tokenizer = WordTokenizer(tokenizer_path)
         for whole in batches:
-            for batch in slices(whole, "text", 8 << 20):
+            for batch in slices(whole, "text", SLICE):
                 texts = pc.fill_null(batch.column(1), "").cast(pa.large_string())
                 ids, sizes = tokenizer.encode(texts)
                 ends = np.cumsum(sizes)
