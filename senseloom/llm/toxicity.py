@@ -29,7 +29,7 @@ _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 @dataclass
 class Subwords:
-    """Subwords of a batch of texts: of each n-gram its bucket and word; of each word its stretch; of each stretch its text."""
+    """Subwords of a batch of texts: of each n-gram its bucket and word; of each word its stretch; of each stretch its text. Buckets and words are as narrow as they can be, since a sample is held whole while it is trained on."""
 
     bucket: np.ndarray
     word: np.ndarray
@@ -45,7 +45,7 @@ def subwords(texts: list[str], bits: int, orders: tuple[int, ...], stretch: int)
     gap = _BREAK[buffer]
     buffer = np.where(gap, np.uint8(32), buffer)
     start = ~gap[1:] & gap[:-1]
-    word_at = np.cumsum(np.r_[False, start]) - 1  # of each letter its word; of a gap the word before
+    word_at = np.cumsum(np.r_[False, start], dtype=np.int32) - np.int32(1)  # of each letter its word; of a gap the word before
     text_of_word = np.searchsorted(begins, np.flatnonzero(start) + 1, "right") - 1
     nth = np.arange(len(text_of_word)) - np.searchsorted(text_of_word, np.arange(len(texts)))[text_of_word]
     new = np.r_[True, (np.diff(text_of_word) > 0) | (nth[1:] % stretch == 0)] if len(nth) else np.zeros(0, bool)
@@ -59,7 +59,7 @@ def subwords(texts: list[str], bits: int, orders: tuple[int, ...], stretch: int)
             inner |= gap[k - 2 : n + k - 2]
         if k in orders:
             at = np.flatnonzero(~inner)
-            buckets.append(((h[at] ^ np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits))
+            buckets.append(((h[at] ^ np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bits)).astype(np.uint16 if bits <= 16 else np.uint32))
             words.append(word_at[at + 1])
     return Subwords(np.concatenate(buckets), np.concatenate(words), np.cumsum(new) - 1, text_of_word[new])
 
