@@ -54,3 +54,13 @@ def test_an_inventory_deals_its_rows_once(spark, cleaned, communities):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert plan.count("REPARTITION_BY_COL") - plan.count("ReusedExchange") == 1
+
+
+def test_a_lemma_does_not_travel_with_occurrences(spark):
+    index = spark.createDataFrame([("cat", f, p, t, "x", n) for f, p, t, n in ((1, 0, "cats", "y"), (1, 5, "cat", "y"), (2, 3, "cats", None))], "lemma string, file_id long, pos long, token string, prev string, next string")
+    near = spark.createDataFrame([("x", "y", t, "cat", ["dog", "fish"]) for t in ("cat", "cats")], "prev string, next string, token string, lemma string, reps array<string>")
+    inventory = spark.createDataFrame([("cat", 0, 1, "dog", 3), ("cat", 1, 1, "bird", 2)], "lemma string, sense_id long, rank long, token string, cnt long")
+    found = senses.assign_by_token(index, near, inventory)
+    assert sorted((r["lemma"], r["file_id"], r["pos"], r["sense_id"], r["score"]) for r in found.collect()) == [("cat", 1, 0, 0, 0.5), ("cat", 1, 5, 0, 0.5)]
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "prev" in line]
+    assert joins and not any("lemma" in line for line in joins)
