@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,18 @@ def test_senses_meet_rows_of_their_lemma(spark, small_batches):
     assert rows(found, "lemma", "file_id", "pos", "sense_id", "shared", "total", "score") == sorted(want)
     assert senses.assign(near, listed.limit(0)).count() == 0
     assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_graphs_are_partitioned_once_and_steps_hold_plain_numbers():
+    calls = []
+
+    def method(n, u, v, w):
+        calls.append(n)
+        return np.arange(n) % 2
+
+    lemma, u, v = np.repeat(np.arange(50), 3), np.repeat(np.arange(0, 150, 3), 2), np.arange(150)[np.arange(150) % 3 > 0]
+    home = graph._one_by_one(method)(lemma, u, v, np.ones(100))
+    assert len(calls) == 1 and home.tolist() == [3 * i + x for i in range(50) for x in (0, 1, 0)]
+    near = graph._start(3, np.array([0, 0]), np.array([1, 2]), np.array([1, 2]))
+    home = graph._move(near, graph._degrees(near), 3.0, 1.0, np.arange(3))
+    assert near == [{1: 1.0, 2: 2.0}, {0: 1.0}, {0: 2.0}] and {type(x) for x in [*home, *near[0], *near[0].values(), *graph._degrees(near)]} == {int, float}
