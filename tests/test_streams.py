@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from senseloom.functions.streams import whole_keys
-from senseloom.operators import graph, senses
+from senseloom.operators import graph, senses, vectors
 
 
 @pytest.fixture(params=[3, 10_000])
@@ -90,3 +90,33 @@ def test_small_graphs_are_partitioned_once_and_steps_hold_plain_numbers():
     near = graph._start(3, np.array([0, 0]), np.array([1, 2]), np.array([1, 2]))
     home = graph._move(near, graph._degrees(near), 3.0, 1.0, np.arange(3))
     assert near == [{1: 1.0, 2: 2.0}, {0: 1.0}, {0: 2.0}] and {type(x) for x in [*home, *near[0], *near[0].values(), *graph._degrees(near)]} == {int, float}
+
+
+def plain_linkage(x, most):
+    """Average linkage by its definition: the two clusters of least mean distance merge."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d, clusters, heights, found = 1 - unit @ unit.T, [[i] for i in range(len(x))], [], []
+    while len(clusters) > 1:
+        h, a, b = min((d[np.ix_(p, q)].mean(), i, j) for i, p in enumerate(clusters) for j, q in enumerate(clusters) if i < j)
+        clusters = [sorted(clusters[a] + clusters[b]), *(c for k, c in enumerate(clusters) if k not in (a, b))]
+        heights.append(h)
+        found.append({tuple(c) for c in clusters})
+    cut = heights[-min(most, len(x) - 1)]
+    return found[max(k for k, h in enumerate(heights) if h <= cut + 1e-12)]
+
+
+def test_average_linkage_of_rows_that_come_again():
+    draw = np.random.default_rng(2)
+    for k in range(60):
+        x = draw.random((draw.integers(2, 9), 5))
+        x = x[draw.integers(0, len(x), 2 * len(x))] if k % 2 else x
+        for most in (1, 3, 7):
+            label = vectors.average_linkage(x, most)
+            assert {tuple(np.flatnonzero(label == c)) for c in set(label)} == plain_linkage(x, most)
+
+
+def test_clusters_of_many_lemmas_stream_by(spark, small_batches):
+    held = spark.createDataFrame([(lemma, f, 0, ["a", "b"] if f % 3 else ["c", lemma]) for lemma in "xyz" for f in range(7)] + [("one", 1, 2, ["a"])], "lemma string, file_id long, pos long, reps array<string>")
+    found = vectors.hac_senses(held, 2)
+    assert rows(found, "lemma", "file_id", "pos", "cluster") == [("one", 1, 2, 0)] + [(lemma, f, 0, 0 if f % 3 else 1) for lemma in "xyz" for f in range(7)]
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
