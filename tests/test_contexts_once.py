@@ -40,3 +40,17 @@ def test_the_edge_of_a_sample_is_found_without_moving_it(spark):
     assert exchanges(marked) == 0
     assert {r["lemma"]: r["count"] for r in marked.where("sampled").groupBy("lemma").count().collect()} == {"a": 10, "b": 4}
     assert index.mark_sampled(frame, 0).where("sampled").count() == 0 and index.mark_sampled(frame, -1).where("sampled").count() == 404
+
+
+def test_ranked_rows_equal_substitutes(spark):
+    held = index.mark_sampled(occurrences(spark), 4)
+    many = spark.createDataFrame([(f"w{t % 12}", f, t, f"w{t % 12}", "p", "q", True) for f in range(3) for t in range(0, 12, f + 1)], held.drop("sampled").schema)
+    held = held.unionByName(many.withColumn("sampled", F.lit(True)))
+    contexts = substitutes.by_context(held, 3)
+    for kept in (2, 11, 100):
+        found = substitutes.substitutes(held.where("sampled"), substitutes.context_fillers(held, kept + 1), kept)
+        total = F.aggregate("reps", F.lit(0).cast("long"), lambda s, x: s + x["cnt"]).alias("total")
+        want = found.select("lemma", "file_id", "pos", total, F.posexplode("reps").alias("rank", "x")).select("lemma", "file_id", "pos", (F.col("rank") + 1).cast("long").alias("rank"), "x.token", (F.col("x.cnt") / F.col("total")).alias("prob"))
+        got = substitutes.ranked_rows(contexts, kept)
+        assert want.count() and got.schema.simpleString() == want.schema.simpleString() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert exchanges(got) == 0
