@@ -46,6 +46,23 @@ def test_a_frequent_token_makes_few_pairs(spark):
     assert met < len(sets) ** 2 / 8
 
 
+def test_sets_are_broadcast_in_slices_and_equal_scores_prune(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    weight = 1 / np.arange(1, 41)
+    sets = sorted({tuple(sorted(map(int, rng.choice(40, 7, replace=False, p=weight / weight.sum())), reverse=True)) for _ in range(220)})
+    frame = spark.createDataFrame([(i, [100 - x for x in s]) for i, s in enumerate(sets)], "of long, set array<long>")
+    want = {}
+    for i, x in enumerate(sets):
+        scored = sorted(((len({*x} & {*y}) / len({*x} | {*y}), j) for j, y in enumerate(sets) if j != i and {*x} & {*y}), reverse=True)[:3]
+        want |= {(i, j): score for score, j in scored}
+    slices, by_prefix = [], link.candidates_by_prefix
+    monkeypatch.setattr(link, "candidates_by_prefix", lambda *a, others, **k: slices.append(others.count()) or by_prefix(*a, others=others, **k))
+    found = {(r["of"], r["other"]): r["score"] for r in link.closest_sets(frame, 3, 60).collect()}
+    assert found == want and len(slices) == -(-len(sets) // 60) and sum(slices) == len(sets) and max(slices) < 100
+    floors = spark.createDataFrame([(i, score, j) for (i, j), score in want.items() if score == min(s for (k, _), s in want.items() if k == i)], "of long, floor double, last long").groupBy("of").agg(F.max("floor").alias("floor"), F.min("last").alias("last"))
+    assert by_prefix(frame, floors, 7).count() < by_prefix(frame, floors.drop("last"), 7).count()
+
+
 def fillers_of(spark, rng):
     """Contexts with fillers of few lemmas, so that lemmas repeat and own tokens lead them."""
     rows = []
